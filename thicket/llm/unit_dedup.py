@@ -58,7 +58,7 @@ def cleaned(text: str | None, marked: list[bytes] | None, cut: Cut) -> tuple[str
     if text is None:
         return None, 0, 0
     units, runs = cut(text)
-    elsewhere = set(marked or ())
+    elsewhere = set(() if marked is None else marked)
     places = covered(_later_here(runs) + [(a, b) for h, a, b in runs if h in elsewhere])
     return without(text, units, places), len(units), len(places)
 
