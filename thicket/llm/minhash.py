@@ -21,6 +21,8 @@ BANDS = HASHES // ROWS
 #: Fewer equal minima than this share rule a pair out before the exact check.  At similarity 0.8 the share has mean 0.8 and
 #: deviation 0.035: 0.6 is more than five deviations below.
 SIGNATURE_FLOOR = 0.6
+#: Partners that each member of an open bucket is checked against before the round that leaves out none.
+NEAREST = 2
 #: Members of one bucket that one task compares with each other at most.
 BLOCK = 1000
 
@@ -96,10 +98,10 @@ def _classes(rows: DataFrame) -> DataFrame:
 
 
 def _banded(classes: DataFrame) -> DataFrame:
-    """(bucket, node): BANDS rows for each class; a bucket is the hash of a band's number and its minima."""
+    """(node, band, bucket): BANDS rows for each class; a bucket is the hash of a band's number and its minima."""
     width = 4 * ROWS
     buckets = F.array(*(F.xxhash64(F.lit(i), F.substring("signature", i * width + 1, width)) for i in range(BANDS)))
-    return classes.select("node", F.explode(buckets).alias("bucket"))
+    return classes.select("node", F.posexplode(buckets).alias("band", "bucket"))
 
 
 def _sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
@@ -151,35 +153,64 @@ def _hub_pairs(banded: DataFrame) -> DataFrame:
     return banded.join(hubs, "bucket").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
 
 
-def _pairs_across(banded: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
+def _compare(sig: np.ndarray, band: int, own: np.ndarray, root: np.ndarray, across: bool, most: int | None) -> list[tuple[int, int]]:
+    """Pairs of places in one group that lie in different components and have alike signatures.
+
+    A pair counts in the first band that it shares only.  With `most`, each place gives so many of its nearest partners.
+    """
+    found = []
+    for x in range(len(sig) - 1):
+        other = root[x + 1 :] != root[x]
+        if across:  # pairs within a block belong to the block's own group
+            other &= own[x + 1 :] != own[x]
+        at = x + 1 + np.nonzero(other)[0]
+        if not len(at):
+            continue
+        equal = sig[at] == sig[x]
+        count = np.count_nonzero(equal, axis=1)
+        near = np.nonzero(count >= SIGNATURE_FLOOR * HASHES)[0]
+        if len(near):
+            near = near[equal[near].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
+            if most is not None and len(near) > most:
+                near = near[np.argsort(-count[near], kind="stable")[:most]]
+            found += [(x, int(at[y])) for y in near]
+    return found
+
+
+def _pairs_across(banded: DataFrame, roots: DataFrame, classes: DataFrame, most: int | None) -> DataFrame:
     """Pairs that share a bucket but no component yet, and that the signature does not rule out.
 
     Only buckets that still hold two components count.  A bucket is cut into blocks; each pair of blocks is a group of
-    its own, of bounded size whatever the bucket's, compared on arrays, and only pairs that pass come out.
+    its own, of bounded size whatever the bucket's, compared on arrays.
     """
-    rooted = banded.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    rooted = banded.join(roots, "node", "left").select("band", "bucket", "node", F.coalesce("root", "node").alias("root"))
     still_open = rooted.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("n")).filter("r1 <> r2")
     members = rooted.join(still_open.select("bucket", "n"), "bucket").join(classes.select("node", "signature"), "node")
     blocks = members.withColumn("k", F.ceil(F.col("n") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")))
     dealt = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).select(
-        "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "signature"
+        "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("band").cast("long"), "own", "node", "root", "signature"
     )
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
-        sig = np.stack([np.frombuffer(s, ">u4").astype(np.uint32) for s in group["signature"]])
-        root, own, node = group["root"].to_numpy(), group["own"].to_numpy(), group["node"].to_numpy()
-        found = []
-        for x in range(len(group) - 1):
-            other = root[x + 1 :] != root[x]
-            if i != j:  # pairs within a block belong to the block's own group
-                other &= own[x + 1 :] != own[x]
-            at = x + 1 + np.nonzero(other)[0]
-            near = at[np.count_nonzero(sig[at] == sig[x], axis=1) >= SIGNATURE_FLOOR * HASHES] if len(at) else at
-            found += [(node[x], node[y]) for y in near]
-        return pd.DataFrame({"a": [max(p) for p in found], "b": [min(p) for p in found]}, dtype="int64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(rows: np.ndarray, sig: np.ndarray) -> Iterator[tuple[int, int]]:
+            _, i, j, band, own, node, root = rows.T
+            for x, y in _compare(sig, band[0], own, root, i[0] != j[0], most):
+                yield max(node[x], node[y]), min(node[x], node[y])
+
+        rows, sig = np.zeros((0, 7), np.int64), np.zeros((0, HASHES), np.uint32)
+        for batch in batches:
+            rows = np.concatenate([rows, np.stack([c.to_numpy() for c in batch.columns[:7]], axis=1)])
+            sig = np.concatenate([sig, np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint32).reshape(-1, HASHES)])
+            starts = [0, *(1 + np.nonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1))[0])] if len(rows) else [0]
+            found = [p for a, b in zip(starts, starts[1:]) if b - a > 1 for p in pairs(rows[a:b], sig[a:b])]
+            rows, sig = rows[starts[-1] :], sig[starts[-1] :]  # the last group may go on in the next batch
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], schema=schema)
+        found = list(pairs(rows, sig)) if len(rows) > 1 else []
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], schema=schema)
 
-    return dealt.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    together = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return together.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,10 +245,13 @@ def _components(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, Da
     banded = written(_banded(classes))
     links = written(_checked(_hub_pairs(banded), classes, docs, size, percent))
     roots = connected_components(links.toDF("u", "v"))
-    across = written(_pairs_across(banded, roots, classes))
-    if not across.isEmpty():
-        more = _checked(across, classes, docs, size, percent)
-        roots = connected_components(links.unionByName(more).toDF("u", "v"))
+    # nearest partners first: they join most of what belongs together, so that few pairs are left for the full round
+    for most in (NEAREST, None):
+        across = written(_pairs_across(banded, roots, classes, most))
+        if across.isEmpty():
+            break
+        links = written(links.unionByName(_checked(across, classes, docs, size, percent)))
+        roots = connected_components(links.toDF("u", "v"))
     rooted = classes.select("node", "set_key", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rows.select("doc_id", "n_shingles", "set_key"), rooted.join(smallest, "root").select("set_key", "component_id")
