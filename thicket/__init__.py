@@ -1 +1 @@
-"""Part of the engine."""
+"""Random-forest n-gram language models over Spark DataFrames."""
