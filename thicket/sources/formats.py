@@ -50,7 +50,7 @@ def arpa_lines(probs: DataFrame, bows: DataFrame) -> DataFrame:
     """(ord, value): ``log10 p <tab> n-gram [<tab> log10 bow]`` of (ord, ctx, w0, p) and (ctx, bow); -99 for probability 0."""
     gram = F.concat(F.reverse("ctx"), F.array("w0"))
     rows = probs.withColumn("gram", gram).join(bows.select(F.reverse("ctx").alias("gram"), "bow"), "gram", "left")
-    log = lambda c: F.format_string("%.6f", F.coalesce(F.log10(F.when(F.col(c) > 0, F.col(c))), F.lit(-99.0)))
+    log = lambda c: F.format_string("%.12f", F.coalesce(F.log10(F.when(F.col(c) > 0, F.col(c))), F.lit(-99.0)))
     return rows.select("ord", F.concat_ws("\t", log("p"), F.concat_ws(" ", "gram"), F.when(F.col("bow").isNotNull(), log("bow"))).alias("value"))
 
 
