@@ -269,3 +269,24 @@ def test_fingerprints(spark):
     assert fingerprint.fingerprint_documents(docs(spark, [])).count() == 0
     assert fingerprint.fingerprint_documents(docs(spark, ["abcd"])).first()["edited_sha256"] == hashlib.sha256(b"abab").hexdigest()
     assert fingerprint.fingerprint_documents(docs(spark, ["ab", "ab", "cd"], [None, 3, 3])).count() == 3
+
+
+def test_near_duplicates_of_a_crowd_cut_into_blocks(spark, monkeypatch):
+    """Texts just above and just below the similarity, more than a block holds: as by comparing all pairs."""
+    monkeypatch.setattr(minhash, "BLOCK", 7)
+    monkeypatch.setattr(minhash, "SET_BLOCK", 5)
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(160)]
+    texts = [" ".join(w if rng.random() > 0.018 else f"x{rng.randrange(10**6)}" for w in base) for _ in range(60)]
+    sets = [{tuple(t.split()[i : i + 4]) for i in range(157)} for t in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both) and root[a] != root[b]:
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if r == old else r for r in root]
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, texts), 4, 80).collect()}
+    ids = sorted(found)
+    assert 1 < len(set(root)) < len(texts)
+    assert [found[i] for i in ids] == [ids[r] for r in root]

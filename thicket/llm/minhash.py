@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -21,10 +21,10 @@ BANDS = HASHES // ROWS
 #: Fewer equal minima than this share rule a pair out before the exact check.  At similarity 0.8 the share has mean 0.8 and
 #: deviation 0.035: 0.6 is more than five deviations below.
 SIGNATURE_FLOOR = 0.6
-#: Partners that each member of an open bucket is checked against before the round that leaves out none.
-NEAREST = 2
-#: Members of one bucket that one task compares with each other at most.
-BLOCK = 1000
+#: Members of one bucket whose signatures (512 bytes each) one task compares with each other at most.
+BLOCK = 4000
+#: Members and bytes of one group whose full sets one task compares with each other, about; past either the group is cut into blocks.
+SET_BLOCK, SET_BYTES = 1000, 16 << 20
 
 # A-Z to lower case; white space [\x20\x09-\x0D] is what bytes.split() cuts at.
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -153,64 +153,124 @@ def _hub_pairs(banded: DataFrame) -> DataFrame:
     return banded.join(hubs, "bucket").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
 
 
-def _compare(sig: np.ndarray, band: int, own: np.ndarray, root: np.ndarray, across: bool, most: int | None) -> list[tuple[int, int]]:
-    """Pairs of places in one group that lie in different components and have alike signatures.
+def _forest(label: np.ndarray, may: Callable[[int, np.ndarray], np.ndarray], test: Callable[[int, np.ndarray], Iterator[int]]) -> list[tuple[int, int]]:
+    """Links of places that `test` finds, less those that join what is joined already: fewer than there are places.
 
-    A pair counts in the first band that it shares only.  With `most`, each place gives so many of its nearest partners.
+    `label` says what is joined from the start; it is changed.  may(x, ys) is a mask of the places to test x against;
+    test(x, ys) gives those of ys that are linked to x.
     """
     found = []
-    for x in range(len(sig) - 1):
-        other = root[x + 1 :] != root[x]
-        if across:  # pairs within a block belong to the block's own group
-            other &= own[x + 1 :] != own[x]
-        at = x + 1 + np.nonzero(other)[0]
-        if not len(at):
-            continue
-        equal = sig[at] == sig[x]
-        count = np.count_nonzero(equal, axis=1)
-        near = np.nonzero(count >= SIGNATURE_FLOOR * HASHES)[0]
-        if len(near):
-            near = near[equal[near].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
-            if most is not None and len(near) > most:
-                near = near[np.argsort(-count[near], kind="stable")[:most]]
-            found += [(x, int(at[y])) for y in near]
+    for x in range(len(label) - 1):
+        ys = x + 1 + np.nonzero(label[x + 1 :] != label[x])[0]
+        ys = ys[may(x, ys)]
+        for y in test(x, ys) if len(ys) else ():
+            if label[y] != label[x]:
+                label[label == label[y]] = label[x]
+                found.append((x, int(y)))
     return found
 
 
-def _pairs_across(banded: DataFrame, roots: DataFrame, classes: DataFrame, most: int | None) -> DataFrame:
-    """Pairs that share a bucket but no component yet, and that the signature does not rule out.
+def _alike(sig: np.ndarray, x: int, ys: np.ndarray) -> np.ndarray:
+    """Those of the places ys whose signatures do not rule them out as partners of x."""
+    return ys[np.count_nonzero(sig[ys] == sig[x], axis=1) >= SIGNATURE_FLOOR * HASHES]
 
-    Only buckets that still hold two components count.  A bucket is cut into blocks; each pair of blocks is a group of
-    its own, of bounded size whatever the bucket's, compared on arrays.
-    """
-    rooted = banded.join(roots, "node", "left").select("band", "bucket", "node", F.coalesce("root", "node").alias("root"))
-    still_open = rooted.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("n")).filter("r1 <> r2")
-    members = rooted.join(still_open.select("bucket", "n"), "bucket").join(classes.select("node", "signature"), "node")
-    blocks = members.withColumn("k", F.ceil(F.col("n") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")))
-    dealt = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).select(
-        "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("band").cast("long"), "own", "node", "root", "signature"
-    )
+
+def _linked(ids: list[np.ndarray], flags: np.ndarray, label: np.ndarray, percent: int, x: int, ys: np.ndarray) -> Iterator[int]:
+    """Those of the places ys whose full sets meet the similarity; what `label` has joined meanwhile is passed over."""
+    flags[ids[x]] = True
+    n = len(ids[x])
+    for y in ys:
+        m = len(ids[y])
+        if label[y] != label[x] and 100 * min(n, m) >= percent * max(n, m):
+            both = np.count_nonzero(flags[ids[y]])
+            if 100 * both >= percent * (n + m - both):
+                yield y
+    flags[ids[x]] = False
+
+
+def _numbered(sets: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Each set as numbers of the shingles that occur in any of them, and a flag for each such shingle, all False."""
+    arrays = [np.frombuffer(s, np.uint64) for s in sets]
+    every, numbers = np.unique(np.concatenate(arrays), return_inverse=True)
+    return np.split(numbers, np.cumsum([len(a) for a in arrays])[:-1]), np.zeros(len(every), bool)
+
+
+def _in_blocks(members: DataFrame, key: str, k: Column) -> DataFrame:
+    """`members`, with columns i <= j and own: each row once for each pair of blocks that its own block is in."""
+    cut = members.withColumn("k", k.cast("long")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")))
+    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    return dealt.select(F.col(key).alias("key"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root")
+
+
+def _joined_up(dealt: DataFrame, compare: Callable[[np.ndarray, list[list[bytes]]], list[tuple[int, int]]]) -> DataFrame:
+    """Distinct links (a, b) that `compare` finds within each (key, i, j) of `dealt`: six longs, then binary columns."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(rows: np.ndarray, sig: np.ndarray) -> Iterator[tuple[int, int]]:
-            _, i, j, band, own, node, root = rows.T
-            for x, y in _compare(sig, band[0], own, root, i[0] != j[0], most):
-                yield max(node[x], node[y]), min(node[x], node[y])
+        def links(rows: np.ndarray, wide: list[list[bytes]]) -> list[tuple[int, int]]:
+            node = rows[:, 4]
+            return [(max(node[x], node[y]), min(node[x], node[y])) for x, y in compare(rows, wide)] if len(rows) > 1 else []
 
-        rows, sig = np.zeros((0, 7), np.int64), np.zeros((0, HASHES), np.uint32)
+        rows, wide = np.zeros((0, 6), np.int64), []
         for batch in batches:
-            rows = np.concatenate([rows, np.stack([c.to_numpy() for c in batch.columns[:7]], axis=1)])
-            sig = np.concatenate([sig, np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint32).reshape(-1, HASHES)])
+            rows = np.concatenate([rows, np.stack([c.to_numpy() for c in batch.columns[:6]], axis=1)])
+            new = [c.to_pylist() for c in batch.columns[6:]]
+            wide = [w + n for w, n in zip(wide, new)] if wide else new
             starts = [0, *(1 + np.nonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1))[0])] if len(rows) else [0]
-            found = [p for a, b in zip(starts, starts[1:]) if b - a > 1 for p in pairs(rows[a:b], sig[a:b])]
-            rows, sig = rows[starts[-1] :], sig[starts[-1] :]  # the last group may go on in the next batch
+            found = [p for s, e in zip(starts, starts[1:]) for p in links(rows[s:e], [w[s:e] for w in wide])]
+            rows, wide = rows[starts[-1] :], [w[starts[-1] :] for w in wide]  # the last group may go on in the next batch
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], schema=schema)
-        found = list(pairs(rows, sig)) if len(rows) > 1 else []
+        found = links(rows, wide)
         yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], schema=schema)
 
-    together = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return together.mapInArrow(run, "a long, b long").distinct()
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
+
+
+def _apart(rows: np.ndarray) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Places that may be compared: in other components, and in other blocks where the group is of two blocks."""
+    _, i, j, own, _, root = rows.T
+    across = i[0] != j[0]  # pairs within a block belong to the block's own group
+    return lambda x, ys: (root[ys] != root[x]) & (own[ys] != own[x]) if across else root[ys] != root[x]
+
+
+def _gathered(banded: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, group): classes that may still be linked to a class of another component share a group.
+
+    Only buckets that still hold two components count.  Each is compared by signatures in pairs of blocks; each pair of
+    blocks gives a forest over its likely links, fewer than it has members, and groups are the components of these.
+    """
+    rooted = banded.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    still_open = rooted.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("n")).filter("r1 <> r2")
+    dealt = _in_blocks(rooted.join(still_open.select("bucket", "n"), "bucket"), "bucket", F.ceil(F.col("n") / BLOCK))
+
+    def compare(rows: np.ndarray, wide: list[list[bytes]]) -> list[tuple[int, int]]:
+        sig = np.frombuffer(b"".join(wide[0]), np.uint32).reshape(-1, HASHES)
+        return _forest(np.arange(len(rows)), _apart(rows), lambda x, ys: _alike(sig, x, ys))
+
+    likely = _joined_up(dealt.join(classes.select("node", "signature"), "node").select("key", "i", "j", "own", "node", "root", "signature"), compare)
+    return connected_components(likely.toDF("u", "v")).withColumnRenamed("root", "group")
+
+
+def _links_across(groups: DataFrame, roots: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between components: the full sets of each group are compared in pairs of blocks of bounded size.
+
+    Every pair of a group meets in one task, and is checked there unless that task has joined the two already; so each
+    task gives a forest of links, fewer than it has members, and no pair is written before it is known to be a link.
+    """
+    sets = _sets(groups.select("node"), classes, docs, size)
+    narrow = written(groups.join(sets.select("node", F.length("set").alias("bytes")), "node"))
+    cut = narrow.groupBy("group").agg(F.ceil(F.greatest(F.count(F.lit(1)) / SET_BLOCK, F.sum("bytes") / SET_BYTES)).alias("blocks"))
+    rooted = narrow.join(cut, "group").join(roots, "node", "left").select("group", "node", "blocks", F.coalesce("root", "node").alias("root"))
+    dealt = _in_blocks(rooted, "group", F.greatest("blocks", F.lit(1)))
+
+    def compare(rows: np.ndarray, wide: list[list[bytes]]) -> list[tuple[int, int]]:
+        sig = np.frombuffer(b"".join(wide[0]), np.uint32).reshape(-1, HASHES)
+        ids, flags = _numbered(wide[1])
+        label = np.unique(rows[:, 5], return_inverse=True)[1]
+        return _forest(label, _apart(rows), lambda x, ys: _linked(ids, flags, label, percent, x, _alike(sig, x, ys)))
+
+    full = dealt.join(classes.select("node", "signature"), "node").join(sets, "node")
+    return _joined_up(full.select("key", "i", "j", "own", "node", "root", "signature", "set"), compare)
 
 
 def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,8 +279,9 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_col: str
     A document's set: its distinct shingles of `size` words; documents are linked where 100 * intersection >= percent *
     union.  1. One pass signs each text.  Texts with equal sets form a class; only classes are compared from here on, so
     copies are never paired.  2. Classes meet in band buckets.  Each is checked against the smallest class of its
-    buckets, by signature and then on the full sets, and links give components.  3. Buckets whose members then still lie in
-    several components are compared in blocks for links that the hubs left out, and components are joined anew.
+    buckets, by signature and then on the full sets, and links give components.  3. Where members of a bucket then still
+    lie in several components, those that may be linked are gathered in groups, each class once; the groups' full sets are
+    compared in blocks for links that the hubs left out, and components are joined anew.
     component_id is the smallest doc_id reachable; kept says whether it is the row's own.
 
     Null, empty and blank texts have an empty set and are linked with nothing: each is its own component.  Rows with a
@@ -245,12 +306,9 @@ def _components(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, Da
     banded = written(_banded(classes))
     links = written(_checked(_hub_pairs(banded), classes, docs, size, percent))
     roots = connected_components(links.toDF("u", "v"))
-    # nearest partners first: they join most of what belongs together, so that few pairs are left for the full round
-    for most in (NEAREST, None):
-        across = written(_pairs_across(banded, roots, classes, most))
-        if across.isEmpty():
-            break
-        links = written(links.unionByName(_checked(across, classes, docs, size, percent)))
+    groups = written(_gathered(banded, roots, classes))
+    if not groups.isEmpty():
+        links = links.unionByName(_links_across(groups, roots, classes, docs, size, percent))
         roots = connected_components(links.toDF("u", "v"))
     rooted = classes.select("node", "set_key", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
