@@ -1,11 +1,12 @@
 import glob
+import math
 import os
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from thicket.operators import evaluate, forest, smoothing, split
+from thicket.operators import discounts, evaluate, forest, models, smoothing, split
 from thicket.plans.oracles import ORACLE_SQL
 from thicket.plans.queries import QUERIES
 from thicket.sources import formats
@@ -85,3 +86,41 @@ def test_tree_text_with_missing_child():
 def test_entry(spark):
     assert entry.entry(spark).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_shallow_growth_tries_no_more_nodes_than_allowed(spark):
+    sizes = {r.tree_id: r.nodes - r.leaves for r in QUERIES["shallow_growth"](spark, DATA).collect()}
+    assert sizes and all(inner <= 3 for inner in sizes.values())
+
+
+def test_natural_and_good_turing_by_hand(spark):
+    counts = spark.createDataFrame([(1, [], "a", 3), (1, [], "b", 1), (1, [], "c", 1), (1, [], "d", 2)], "ord int, ctx array<string>, w0 string, cnt long")
+    natural = {r.w0: r.p for r in discounts.train_natural(counts, 1).prob(counts).collect()}
+    # n = 7, q = 4: (c + 1) * 4 and 20 / 4 over 64
+    assert natural == pytest.approx({"a": 21 / 64, "b": 13 / 64, "c": 13 / 64, "d": 17 / 64})
+    # n1..n3 = 2, 1, 1 and gt_max 1: A = 2 * 1 / 2 = 1 leaves nothing to divide by, so the factor is 1
+    assert [r.factor for r in discounts.good_turing(counts, 1).collect()] == [1.0]
+    assert discounts.good_turing(counts.limit(0)).count() == 0
+
+
+def test_tagged_counts(spark):
+    rows = [(2, ["a"], "#0", 4), (2, ["a"], "#1", 3), (2, ["a"], "#3", 2), (2, ["a"], "plain", 2)]
+    found = discounts.tagged_stats(spark.createDataFrame(rows, "ord int, ctx array<string>, w0 string, cnt long"), "#").first()
+    assert (found.total, found.types, found.min2, found.min3) == (4 + 3 + 6 + 2, 6, 3, 2)
+
+
+def test_entropy_pruning_drops_what_the_shorter_context_says_as_well(spark):
+    rows = [(["h"], "same", 0.3, 0.3, 0.5), (["h"], "other", 0.4, 0.1, 0.5)]
+    found = {r.w0: r for r in models.entropy_prune(spark.createDataFrame(rows, "ctx array<string>, w0 string, p double, p_low double, p_ctx double"), 0.01).collect()}
+    # without "other": back-off weight (1 - 0.3) / (1 - 0.3) = 1 instead of 0.3 / 0.6
+    rise = math.exp(-0.5 * (0.4 * (math.log(0.1) - math.log(0.4)) + 0.3 * (0 - math.log(0.5)))) - 1
+    assert found["other"].delta == pytest.approx(rise) and found["other"].kept
+
+
+def test_generation_ends_and_repeats(spark):
+    grams = spark.createDataFrame([("<s>", "a", 1), ("a", "b", 1), ("b", "a", 1), ("b", "</s>", 1)], "h1 string, w0 string, weight long")
+    first = sorted(models.generate(grams, 5, 1, 6).collect())
+    assert first == sorted(models.generate(grams.repartition(3), 5, 1, 6).collect())
+    for sentence in range(5):
+        words = [r.word for r in first if r.sent_id == sentence]
+        assert words[0] == "a" and (words[-1] == "</s>" or len(words) == 6)

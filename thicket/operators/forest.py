@@ -36,10 +36,11 @@ def route(rows: DataFrame, splits: DataFrame) -> DataFrame:
     return at.join(splits.select("tree_id", "path", "elem", "side"), ["tree_id", "path", "elem"]).withColumn("path", F.concat("path", F.col("side").cast("string"))).drop("elem", "side")
 
 
-def grow(train: DataFrame, trees: int, order: int, seed: int, mode: str = "both", alpha: float = 0.5, heldout: DataFrame | None = None, max_depth: int = 30) -> DataFrame:
+def grow(train: DataFrame, trees: int, order: int, seed: int, mode: str = "both", alpha: float = 0.5, heldout: DataFrame | None = None, max_depth: int = 30, max_nodes: int | None = None) -> DataFrame:
     """EDGES of a forest, from (ctx, w0, cnt) in word ids: all trees and all nodes of a level in the same jobs.
 
-    With `heldout`, nodes that no held-out n-gram reaches are not split.  Positions are drawn from the node's path, on
+    With `heldout`, nodes that no held-out n-gram reaches are not split.  With `max_nodes`, each tree tries so many nodes
+    at most, breadth first, then by path (shallow growth); the others stay leaves.  Positions are drawn from the node's path, on
     the driver for the level's nodes; each level is written to the shared folder.
     """
     if order < 2 or not 0 < alpha <= 1:
@@ -49,10 +50,13 @@ def grow(train: DataFrame, trees: int, order: int, seed: int, mode: str = "both"
     here = train.select("ctx", "w0", "cnt").join(F.broadcast(ids))
     held = heldout.select("ctx", "w0", "cnt").join(F.broadcast(ids)) if heldout is not None else None
     draw = F.udf(lambda tree, path: draw_positions(seed, tree, path, order - 1, mode, alpha), "array<int>")
-    edges = None
+    edges = used = None
     for _ in range(max_depth):
         if held is not None:
             here = here.join(held.select("tree_id", "path").distinct(), ["tree_id", "path"], "left_semi")
+        if max_nodes is not None:
+            tried, used = _within_budget(here.select("tree_id", "path").distinct(), used, max_nodes)
+            here = here.join(tried, ["tree_id", "path"], "left_semi")
         drawn = here.select("tree_id", "path").distinct().withColumn("pos", F.explode(draw("tree_id", "path")))
         elems = elements(here, range(order - 1)).join(drawn, ["tree_id", "path", "pos"])
         splits = written(best_splits(search(elems, seed, mode)))
@@ -65,6 +69,15 @@ def grow(train: DataFrame, trees: int, order: int, seed: int, mode: str = "both"
     return edges if edges is not None else spark.createDataFrame([], EDGES)
 
 
+def _within_budget(nodes: DataFrame, used: DataFrame | None, most: int) -> tuple[DataFrame, DataFrame]:
+    """Of a level's nodes those that each tree may still try, and (tree_id, n) tried with them."""
+    before = used if used is not None else nodes.select("tree_id").distinct().withColumn("n", F.lit(0).cast("long"))
+    place = F.row_number().over(Window.partitionBy("tree_id").orderBy("path"))
+    tried = written(nodes.join(F.broadcast(before), "tree_id").withColumn("r", place).filter(F.col("r") + F.col("n") <= most))
+    after = tried.groupBy("tree_id").agg((F.max("n") + F.count(F.lit(1))).alias("n"))
+    return tried.select("tree_id", "path"), written(after)
+
+
 def classify(rows: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """`rows` (with tree_id, ctx) with `path` and `found`: down to a leaf, or to where no child has the word."""
     inner = edges.select("tree_id", F.col("parent").alias("path"), "pos").distinct()

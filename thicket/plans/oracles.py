@@ -109,4 +109,34 @@ ORACLE_SQL = {
         FROM (SELECT *, -l_quantity - 0.5 * l_discount * 100 + 0.25 * l_linenumber AS t FROM lineitem)""",
     "adapt_marginals": f"""{_WB}, z AS (SELECT tri.h1, tri.h2, tri.w0, tri.p * pow(sqrt(e.cnt) / e.cnt, 0.5) AS x FROM tri JOIN e ON e.ord = 1 AND e.w0 = tri.w0)
         SELECT h1, h2, w0, round(x / sum(x) OVER (PARTITION BY h1, h2), 6) AS prob FROM z""",
+    "good_turing_discounts": f"""{_DOCS}, n AS (SELECT ord, r, (SELECT count(*) FROM c WHERE c.ord = o.ord AND cnt = r) AS n_r FROM (SELECT DISTINCT ord FROM c) o, range(1, 7) t(r)),
+        a AS (SELECT x.ord, 6 * y.n_r / nullif(x.n_r, 0) AS a FROM n x JOIN n y ON x.ord = y.ord AND x.r = 1 AND y.r = 6),
+        f AS (SELECT n.ord, n.r, n.n_r, ((n.r + 1) * up.n_r / nullif(n.n_r, 0) / n.r - a) / nullif(1 - a, 0) AS f FROM n JOIN n up ON up.ord = n.ord AND up.r = n.r + 1 JOIN a ON a.ord = n.ord)
+        SELECT ord, r::INT AS r, n_r, round(CASE WHEN f > 0 AND f <= 1 THEN f ELSE 1.0 END, 6) AS factor FROM f""",
+    "good_turing_normalisation": f"{_EVENTS} SELECT DISTINCT 3 AS ord, h1, h2, 1.0::DOUBLE AS total_p FROM c WHERE ord = 3 AND w0 <> '<s>'",
+    "natural_bigram_prob": f"""{_EVENTS}, e AS (SELECT * FROM c WHERE w0 <> '<s>'),
+        s AS (SELECT ord, h1, sum(cnt)::DOUBLE AS n, count(*)::DOUBLE AS q FROM e WHERE ord < 3 GROUP BY ALL),
+        u AS (SELECT w0, ((cnt + 1) * (n + 1 - q) + q * (q + 1) / q) / (n * n + n + 2 * q) AS p FROM e JOIN s ON e.ord = 1 AND s.ord = 1)
+        SELECT 2 AS ord, s.h1, NULL::VARCHAR AS h2, u.w0, round((CASE WHEN cnt > 0 THEN (cnt + 1) * (n + 1 - q) ELSE 0 END + q * (q + 1) * p) / (n * n + n + 2 * q), 6) AS p
+        FROM s CROSS JOIN u LEFT JOIN e ON e.ord = 2 AND e.h1 = s.h1 AND e.w0 = u.w0 WHERE s.ord = 2""",
+    "tagged_context_stats": f"{_EVENTS} SELECT ord, h1, h2, sum(cnt)::BIGINT AS total, count(*) AS types, count(*) FILTER (cnt >= 2) AS min2, count(*) FILTER (cnt >= 3) AS min3 FROM c GROUP BY ord, h1, h2",
+    "entropy_prune": f"""{_WB}, g AS (SELECT e.h1, e.w0, b.p, u.p AS low, s2.t / sum(s2.t / s2.n) OVER () AS ph FROM e JOIN b ON b.h1 = e.h1 AND b.w0 = e.w0 JOIN u ON u.w0 = e.w0 JOIN s2 ON s2.h1 = e.h1 WHERE ord = 2),
+        z AS (SELECT *, 1 - sum(p) OVER (PARTITION BY h1) AS a, 1 - sum(low) OVER (PARTITION BY h1) AS x FROM g),
+        y AS (SELECT *, ln((greatest(a, 0) + p) / (greatest(x, 0) + low)) AS bow FROM z),
+        r AS (SELECT *, exp(-ph * (p * (ln(low) + bow - ln(p)) + CASE WHEN a > 1e-12 AND x > 1e-12 THEN a * (bow - ln(a / x)) ELSE 0 END)) - 1 AS delta FROM y)
+        SELECT h1, w0, round(delta, 6) AS delta, delta >= 1e-4 AS kept FROM r""",
+    "generate_sentences": """WITH RECURSIVE g AS (SELECT unnest(['<s>', split_part(p_name, ' ', 1), split_part(p_name, ' ', 2)]) AS h1, unnest([split_part(p_name, ' ', 1), split_part(p_name, ' ', 2), '</s>']) AS w0 FROM part),
+        n AS (SELECT h1, w0, count(*) AS n FROM g GROUP BY ALL),
+        cum AS (SELECT h1, w0, n, sum(n) OVER (PARTITION BY h1 ORDER BY w0) AS hi, sum(n) OVER (PARTITION BY h1) AS total FROM n),
+        s AS (SELECT x AS sent_id, 0 AS place, '<s>' AS word FROM range(20) t(x)
+              UNION ALL SELECT sent_id, place + 1, w0 FROM (SELECT *, ('0x' || substr(md5('7|' || sent_id || '|' || (place + 1)), 1, 8))::BIGINT AS u FROM s WHERE place < 8 AND word <> '</s>') d
+              JOIN cum ON cum.h1 = d.word AND u * total / 4294967296.0::DOUBLE < hi AND u * total / 4294967296.0::DOUBLE >= hi - n)
+        SELECT sent_id, place::INT AS place, word FROM s WHERE place > 0""",
+    "class_counts": f"""{_EVENTS}, k AS (SELECT DISTINCT event_type AS w, 'C' || (length(event_type) % 2) AS k FROM events)
+        SELECT ord, coalesce(a.k, h1) AS h1, coalesce(b.k, h2) AS h2, coalesce(z.k, w0) AS w0, sum(cnt)::BIGINT AS cnt
+        FROM c LEFT JOIN k a ON a.w = h1 LEFT JOIN k b ON b.w = h2 LEFT JOIN k z ON z.w = w0 GROUP BY ALL""",
+    "class_membership": f"""{_EVENTS}, m AS (SELECT w0 AS word, CASE WHEN w0 IN ('<s>', '</s>') THEN w0 ELSE 'C' || (length(w0) % 2) END AS class, cnt FROM c WHERE ord = 1)
+        SELECT word, class, round(cnt / sum(cnt) OVER (PARTITION BY class), 6) AS share FROM m""",
+    "dynamic_lm": """SELECT event_id, round(0.3 * count(*) OVER (PARTITION BY user_id, event_type) / count(*) OVER (PARTITION BY user_id) + 0.7 * count(*) OVER (PARTITION BY event_type) / count(*) OVER (), 6) AS prob FROM events""",
+    "noise_and_reverse": f"{_EVENTS} {_ALL}".replace("list(event_type ORDER BY ts, event_id) AS e FROM events", "coalesce(list(event_type ORDER BY ts DESC, event_id DESC) FILTER (event_type NOT IN ('error', 'view')), []) AS e FROM events"),
 }

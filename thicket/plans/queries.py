@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import uniform32
 from ..operators import counts as C
+from ..operators import discounts as K
 from ..operators import evaluate as E
 from ..operators import forest as T
+from ..operators import models as M
 from ..operators import smoothing as S
 from ..operators import split
 from ..sources import corpus, formats
@@ -382,3 +384,89 @@ def adapt_marginals(spark: SparkSession, d: str) -> DataFrame:
     base = _counts(spark, d).filter((F.col("ord") == 1) & (F.col("w0") != corpus.BEGIN)).select("w0", F.col("cnt").cast("double").alias("pb"))
     found = E.adapt_marginals(wb, base, base.select("w0", F.sqrt("pb")), 0.5)
     return found.select(F.get("ctx", F.lit(0)).alias("h1"), F.get("ctx", F.lit(1)).alias("h2"), "w0", F.round("prob", 6).alias("prob"))
+
+
+@query
+def good_turing_discounts(spark: SparkSession, d: str) -> DataFrame:
+    return K.good_turing(C.ngram_counts(_docs(spark, d)[0], ORDER)).select("ord", "r", "n_r", F.round("factor", 6).alias("factor"))
+
+
+def _seen_contexts(counts: DataFrame, order: int) -> DataFrame:
+    """Each seen context of an order with every word: the events' vocabulary is six words."""
+    words = counts.filter((F.col("ord") == 1) & (F.col("w0") != corpus.BEGIN)).agg(F.collect_set("w0").alias("ws"))
+    contexts = counts.filter((F.col("ord") == order) & (F.col("w0") != corpus.BEGIN)).select("ord", "ctx").distinct()
+    return contexts.join(F.broadcast(words)).select("ord", "ctx", F.explode("ws").alias("w0"))
+
+
+@query
+def good_turing_normalisation(spark: SparkSession, d: str) -> DataFrame:
+    """Good-Turing probabilities of all words behind each seen context of the events add up to 1."""
+    counts = written(_counts(spark, d).filter(F.col("w0") != corpus.BEGIN))
+    probs = K.good_turing_probs(_seen_contexts(counts, ORDER), counts, ORDER, counts.filter("ord = 1").count())
+    return _flat(probs.groupBy("ord", "ctx").agg(F.round(F.sum("p"), 6).alias("total_p")), "total_p")
+
+
+@query
+def natural_bigram_prob(spark: SparkSession, d: str) -> DataFrame:
+    counts = written(_counts(spark, d))
+    return _flat(K.train_natural(counts, 2).prob(_seen_contexts(counts, 2)), "w0", F.round("p", 6).alias("p"))
+
+
+@query
+def tagged_context_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Each context's followers as counts of counts."""
+    tagged = _counts(spark, d).groupBy("ord", "ctx", F.concat(F.lit("__meta__"), "cnt").alias("w0")).agg(F.count(F.lit(1)).alias("cnt"))
+    return _flat(K.tagged_stats(tagged, "__meta__"), "total", "types", "min2", "min3")
+
+
+@query
+def entropy_prune(spark: SparkSession, d: str) -> DataFrame:
+    counts = written(_counts(spark, d).filter(F.col("w0") != corpus.BEGIN))
+    grams = counts.filter("ord = 2")
+    both = S.train(counts, 1, "witten-bell").prob(S.train(counts, 2, "witten-bell").prob(grams), "p_low")
+    share = grams.groupBy("ctx").agg(F.sum("cnt").alias("n"))
+    all_n = share.agg(F.sum("n").alias("all"))
+    weighed = both.join(share, "ctx").join(F.broadcast(all_n)).select("ctx", "w0", "p", "p_low", (F.col("n") / F.col("all")).alias("p_ctx"))
+    return M.entropy_prune(weighed, 1e-4).select(F.get("ctx", F.lit(0)).alias("h1"), "w0", F.round("delta", 6).alias("delta"), "kept")
+
+
+@query
+def generate_sentences(spark: SparkSession, d: str) -> DataFrame:
+    bigrams = C.ngram_counts(corpus.text_sentences(_table(spark, d, "part"), "p_name"), 2).filter("ord = 2")
+    return M.generate(bigrams.select(F.get("ctx", F.lit(0)).alias("h1"), "w0", F.col("cnt").alias("weight")), 20, SEED, 8)
+
+
+def _event_classes(spark: SparkSession, d: str) -> DataFrame:
+    types = _table(spark, d, "events").select(F.col("event_type").alias("word")).distinct()
+    return types.withColumn("class", F.concat(F.lit("C"), (F.length("word") % 2).cast("string")))
+
+
+@query
+def class_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(M.class_counts(_counts(spark, d), _event_classes(spark, d)), "w0", "cnt")
+
+
+@query
+def class_membership(spark: SparkSession, d: str) -> DataFrame:
+    return M.membership(_counts(spark, d), _event_classes(spark, d)).select("word", "class", F.round("share", 6).alias("share"))
+
+
+@query
+def dynamic_lm(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's own event shares, mixed with those of all."""
+    probs = _event_probs(spark, d).select("event_id", F.col("user_id").alias("segment"), F.col("event_type").alias("w0"), F.col("p1").alias("p"))
+    n = probs.groupBy("segment", "w0").agg(F.count(F.lit(1)).alias("n"))
+    own = n.join(n.groupBy("segment").agg(F.sum("n").alias("all")), "segment").select("segment", "w0", (F.col("n") / F.col("all")).alias("p_dyn"))
+    return M.dynamic_mix(probs, own, 0.3).select("event_id", F.round("prob", 6).alias("prob"))
+
+
+@query
+def noise_and_reverse(spark: SparkSession, d: str) -> DataFrame:
+    quiet = M.without_words(_sentences(spark, d), ["error", "view"], True)
+    return _flat(C.ngram_counts(quiet, ORDER), "w0", "cnt")
+
+
+@query
+def shallow_growth(spark: SparkSession, d: str) -> DataFrame:
+    """Trees that try three nodes each."""
+    return T.tree_stats(T.grow(written(_encoded(spark, d)), 3, ORDER, SEED, max_nodes=3))
