@@ -8,8 +8,8 @@ import pytest
 import __spark_entry__ as entry
 from thicket.operators import discounts, evaluate, forest, models, smoothing, split
 from thicket.plans.oracles import ORACLE_SQL
-from thicket.plans.queries import QUERIES
-from thicket.sources import formats
+from thicket.plans.queries import QUERIES, TREE
+from thicket.sources import blocks, formats
 
 DATA = "/root/testdata/sf0.001"
 
@@ -124,3 +124,23 @@ def test_generation_ends_and_repeats(spark):
     for sentence in range(5):
         words = [r.word for r in first if r.sent_id == sentence]
         assert words[0] == "a" and (words[-1] == "</s>" or len(words) == 6)
+
+
+@pytest.mark.parametrize("levels", [1, 2, 5])
+def test_blocks_round_trip(spark, levels):
+    edges = spark.createDataFrame(TREE, formats.EDGES)
+    nodes = [(0, "", False, -10.0, 10), (0, "0", False, -4.5, 4), (0, "00", True, -2.5, 2), (0, "01", True, -1.5, 2), (0, "1", True, -4.0, 5)]
+    table = spark.createDataFrame(nodes, "tree_id int, path string, is_leaf boolean, logl double, heldout_sum long")
+    lines = [r.value for r in blocks.block_lines(edges, table, levels).collect()]
+    text = "\n".join(lines)
+    assert text.count(blocks.BEGIN) == text.count(blocks.END) == {1: 2, 2: 1, 5: 1}[levels]
+    found_edges, found_nodes = blocks.parse_blocks(text)
+    assert sorted(found_edges) == sorted(TREE) and sorted(found_nodes) == nodes
+
+
+def test_blocks_of_a_lone_leaf_and_missing_blocks(spark):
+    alone = "\n".join([blocks.BEGIN, "subtree -1 = leaf 1 -2.5 3", blocks.END])
+    assert blocks.parse_blocks(alone) == ([], [(0, "", True, -2.5, 3)])
+    assert blocks.parse_blocks("") == ([], [])
+    with pytest.raises(ValueError):
+        blocks.parse_blocks("\n".join([blocks.BEGIN, "subtree -1 -2 3", "0", "subtree -2 0 0", "null", blocks.END]))

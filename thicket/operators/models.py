@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import uniform32
 from ..sources.corpus import BEGIN, END
 from ..sources.tables import written
+from .smoothing import BackoffModel
 
 
 def entropy_prune(probs: DataFrame, threshold: float) -> DataFrame:
@@ -76,3 +77,41 @@ def without_words(sentences: DataFrame, noise: list[str], backwards: bool = Fals
     kept = F.filter("words", lambda w: ~w.isin(*noise)) if noise else F.col("words")
     turned = F.transform(F.reverse(kept), lambda w: F.when(w == BEGIN, END).when(w == END, BEGIN).otherwise(w))
     return sentences.withColumn("words", turned if backwards else kept)
+
+
+def backoff_lookup(grams: DataFrame, arpa: DataFrame, order: int, out: str = "logp", zero: float = -99.0) -> DataFrame:
+    """`grams` (ctx, w0) with the log10 probability by an explicit model (ord, ctx, w0, logp, log_bow).
+
+    The longest n-gram that the model lists counts, plus the back-off weights of the contexts that were too long; a context
+    without a weight has weight 1.  A word without a unigram gets `zero`, whatever its context.
+    """
+    df = grams.join(arpa.filter("ord = 1").select(F.col("w0").alias("__w"), F.col("logp").alias("__p")), F.col("w0") == F.col("__w"), "left").select(*grams.columns, "__p")
+    for k in range(2, order + 1):
+        at = df.withColumn("__k", F.when(F.size("ctx") >= k - 1, F.slice("ctx", 1, k - 1)))
+        listed = arpa.filter(F.col("ord") == k).select(F.col("ctx").alias("__c"), F.col("w0").alias("__w"), F.col("logp").alias("__own"))
+        weights = arpa.filter((F.col("ord") == k - 1) & F.col("log_bow").isNotNull()).select(F.concat(F.array("w0"), "ctx").alias("__b"), "log_bow")
+        at = at.join(listed, (F.col("__k") == F.col("__c")) & (F.col("w0") == F.col("__w")), "left").join(weights, F.col("__k") == F.col("__b"), "left")
+        df = at.withColumn("__p", F.coalesce("__own", F.col("__p") + F.coalesce("log_bow", F.lit(0.0)))).select(*grams.columns, "__p")
+    return df.select(*grams.columns, F.coalesce("__p", F.lit(zero)).alias(out))
+
+
+def rescore(arpa: DataFrame, model: BackoffModel) -> DataFrame:
+    """The n-grams of an explicit model with another model's probabilities: (ord, ctx, w0, logp, log_bow), weights as they were."""
+    scored = model.prob(arpa.drop("logp"), "p")
+    return scored.select("ord", "ctx", "w0", F.log10(F.when(F.col("p") > 0, F.col("p"))).alias("logp"), "log_bow")
+
+
+def skip_step(scored: DataFrame, weights: DataFrame | None = None, start: float = 0.5) -> DataFrame:
+    """(word, weight): one EM step for the chance that the newest word of a context is skipped, by that word.
+
+    `scored` has (word, cnt, p_keep, p_skip); words that `weights` lacks begin with `start`.
+    """
+    df = scored.join(weights, "word", "left") if weights is not None else scored.withColumn("weight", F.lit(start))
+    lam = F.coalesce("weight", F.lit(start))
+    post = lam * F.col("p_skip") / (lam * F.col("p_skip") + (1 - lam) * F.col("p_keep"))
+    return df.groupBy("word").agg((F.sum(F.col("cnt") * post) / F.sum("cnt")).alias("weight"))
+
+
+def null_probs(grams: DataFrame, out: str = "p") -> DataFrame:
+    """The null model: every word has probability 1."""
+    return grams.withColumn(out, F.lit(1.0))

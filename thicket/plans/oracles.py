@@ -139,4 +139,10 @@ ORACLE_SQL = {
         SELECT word, class, round(cnt / sum(cnt) OVER (PARTITION BY class), 6) AS share FROM m""",
     "dynamic_lm": """SELECT event_id, round(0.3 * count(*) OVER (PARTITION BY user_id, event_type) / count(*) OVER (PARTITION BY user_id) + 0.7 * count(*) OVER (PARTITION BY event_type) / count(*) OVER (), 6) AS prob FROM events""",
     "noise_and_reverse": f"{_EVENTS} {_ALL}".replace("list(event_type ORDER BY ts, event_id) AS e FROM events", "coalesce(list(event_type ORDER BY ts DESC, event_id DESC) FILTER (event_type NOT IN ('error', 'view')), []) AS e FROM events"),
+    "arpa_backoff_lookup": f"""{_WB}, ex AS (SELECT e.h1, e.w0 FROM e WHERE ord = 2 AND e.w0 < 'p'),
+        z AS (SELECT ex.h1, 1 - sum(b.p) AS a, 1 - sum(u.p) AS x FROM ex JOIN b ON b.h1 = ex.h1 AND b.w0 = ex.w0 JOIN u ON u.w0 = ex.w0 GROUP BY ex.h1)
+        SELECT 2 AS ord, b.h1, NULL::VARCHAR AS h2, b.w0, round(log10(CASE WHEN ex.w0 IS NOT NULL THEN b.p ELSE u.p * CASE WHEN x > 1e-12 THEN a / x ELSE 1.0 END END), 4) AS logp
+        FROM b JOIN u ON u.w0 = b.w0 LEFT JOIN ex ON ex.h1 = b.h1 AND ex.w0 = b.w0 LEFT JOIN z ON z.h1 = b.h1""",
+    "rescore_ngrams": f"{_WB} SELECT ord, h1, h2, w0, round(log10(p), 4) AS logp FROM tri",
+    "skip_weights": f"{_WB} SELECT tri.h1 AS word, round(sum(cnt * coalesce(b.p, p_uni) / (coalesce(b.p, p_uni) + tri.p)) / sum(cnt), 6) AS weight FROM tri LEFT JOIN b ON b.h1 = tri.h2 AND b.w0 = tri.w0 GROUP BY tri.h1",
 }

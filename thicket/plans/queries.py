@@ -470,3 +470,33 @@ def noise_and_reverse(spark: SparkSession, d: str) -> DataFrame:
 def shallow_growth(spark: SparkSession, d: str) -> DataFrame:
     """Trees that try three nodes each."""
     return T.tree_stats(T.grow(written(_encoded(spark, d)), 3, ORDER, SEED, max_nodes=3))
+
+
+@query
+def arpa_backoff_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """A bigram model that lists the words before p only; the others back off."""
+    counts = written(_counts(spark, d))
+    uni, bi = S.train(counts, 1, "witten-bell"), S.train(counts, 2, "witten-bell")
+    grams = _seen_contexts(counts, 2)
+    listed = uni.prob(bi.prob(counts.filter("ord = 2 and w0 < 'p'").filter(F.col("w0") != corpus.BEGIN).select("ord", "ctx", "w0")), "p_low")
+    bows = S.backoff_weights(listed).select("ctx", F.log10("bow").alias("log_bow"))
+    words = uni.prob(counts.filter("ord = 1").select("ord", "ctx", "w0"))
+    ones = words.select("ord", "ctx", "w0", F.log10("p").alias("logp")).join(bows.select(F.get("ctx", F.lit(0)).alias("w0"), "log_bow"), "w0", "left")
+    arpa = ones.unionByName(listed.select("ord", "ctx", "w0", F.log10("p").alias("logp"), F.lit(None).cast("double").alias("log_bow")))
+    return _flat(M.backoff_lookup(grams, written(arpa), 2), "w0", F.round("logp", 4).alias("logp"))
+
+
+@query
+def rescore_ngrams(spark: SparkSession, d: str) -> DataFrame:
+    counts = written(_counts(spark, d))
+    flat = counts.filter((F.col("ord") == ORDER) & (F.col("w0") != corpus.BEGIN)).select("ord", "ctx", "w0", F.lit(-1.0).alias("logp"), F.lit(0.0).alias("log_bow"))
+    return _flat(M.rescore(flat, S.train(counts, ORDER, "witten-bell")), "w0", F.round("logp", 4).alias("logp"))
+
+
+@query
+def skip_weights(spark: SparkSession, d: str) -> DataFrame:
+    counts = written(_counts(spark, d))
+    grams = counts.filter((F.col("ord") == ORDER) & (F.col("w0") != corpus.BEGIN)).select("ctx", "w0", "cnt")
+    kept = S.train(counts, ORDER, "witten-bell").prob(grams, "p_keep")
+    older = kept.select(F.get("ctx", F.lit(0)).alias("word"), F.slice("ctx", 2, 1).alias("ctx"), "w0", "cnt", "p_keep")
+    return M.skip_step(S.train(counts, 2, "witten-bell").prob(older, "p_skip")).select("word", F.round("weight", 6).alias("weight"))
