@@ -137,7 +137,7 @@ ORACLE_SQL = {
         FROM c LEFT JOIN k a ON a.w = h1 LEFT JOIN k b ON b.w = h2 LEFT JOIN k z ON z.w = w0 GROUP BY ALL""",
     "class_membership": f"""{_EVENTS}, m AS (SELECT w0 AS word, CASE WHEN w0 IN ('<s>', '</s>') THEN w0 ELSE 'C' || (length(w0) % 2) END AS class, cnt FROM c WHERE ord = 1)
         SELECT word, class, round(cnt / sum(cnt) OVER (PARTITION BY class), 6) AS share FROM m""",
-    "dynamic_lm": """SELECT event_id, round(0.3 * count(*) OVER (PARTITION BY user_id, event_type) / count(*) OVER (PARTITION BY user_id) + 0.7 * count(*) OVER (PARTITION BY event_type) / count(*) OVER (), 6) AS prob FROM events""",
+    "dynamic_lm": """SELECT event_id, round(0.3 * count(*) OVER (PARTITION BY user_id, event_type) / count(*) OVER (PARTITION BY user_id) + 0.7 * count(*) OVER (PARTITION BY event_type) / count(*) OVER (), 10) AS prob FROM events""",
     "noise_and_reverse": f"{_EVENTS} {_ALL}".replace("list(event_type ORDER BY ts, event_id) AS e FROM events", "coalesce(list(event_type ORDER BY ts DESC, event_id DESC) FILTER (event_type NOT IN ('error', 'view')), []) AS e FROM events"),
     "arpa_backoff_lookup": f"""{_WB}, ex AS (SELECT e.h1, e.w0 FROM e WHERE ord = 2 AND e.w0 < 'p'),
         z AS (SELECT ex.h1, 1 - sum(b.p) AS a, 1 - sum(u.p) AS x FROM ex JOIN b ON b.h1 = ex.h1 AND b.w0 = ex.w0 JOIN u ON u.w0 = ex.w0 GROUP BY ex.h1)

@@ -453,11 +453,11 @@ def class_membership(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def dynamic_lm(spark: SparkSession, d: str) -> DataFrame:
-    """Each user's own event shares, mixed with those of all."""
+    """Each user's own event shares, mixed with those of all.  Ten digits: shares of whole counts often end in 5 at the seventh."""
     probs = _event_probs(spark, d).select("event_id", F.col("user_id").alias("segment"), F.col("event_type").alias("w0"), F.col("p1").alias("p"))
     n = probs.groupBy("segment", "w0").agg(F.count(F.lit(1)).alias("n"))
     own = n.join(n.groupBy("segment").agg(F.sum("n").alias("all")), "segment").select("segment", "w0", (F.col("n") / F.col("all")).alias("p_dyn"))
-    return M.dynamic_mix(probs, own, 0.3).select("event_id", F.round("prob", 6).alias("prob"))
+    return M.dynamic_mix(probs, own, 0.3).select("event_id", F.round("prob", 10).alias("prob"))
 
 
 @query
