@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
-#: Entries that the memos of one Python worker hold at most: segments with their ids, pairs with their verdict.
-MAX_SEGMENTS, MAX_PAIRS = 800_000, 400_000
+#: Entries that the memos of one task hold at most: segments with their ids, pairs with their verdict.
+MAX_SEGMENTS, MAX_PAIRS = 400_000, 200_000
 
 # Pieces that the split pattern never cuts or joins differently than on the whole text: a word with the space before it,
 # or white space up to the character before the next word.
@@ -59,6 +59,11 @@ class ByteBPE:
         with open(path, "rb") as f:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
 
+    def forget(self) -> None:
+        """Empty the memos: a worker outlives its task, and holds no more than the vocabulary in between."""
+        for memo in (self.shorter, self.fits, self.ids_text):
+            memo.clear()
+
     def _shorter(self, token: str) -> str | None:
         """The longest token that is a proper prefix of `token`."""
         return next((token[:n] for n in range(len(token) - 1, 0, -1) if token[:n] in self.rank), None)
@@ -153,6 +158,7 @@ def encode_documents(df: DataFrame, path: str, pattern: str, id_col: str = "doc_
         for batch in batches:
             ids = [bpe.encode(x or "") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, schema.field(1).type)], schema=schema)
+        bpe.forget()
 
     return df.select(df[id_col].cast("long"), df[text_col]).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -176,5 +182,6 @@ def encode_and_decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc
                 ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
                 decoded_sha.append(hashlib.sha256(bpe.decode_text(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], schema=schema)
+        bpe.forget()
 
     return df.select(df[id_col].cast("long"), df[text_col]).mapInArrow(run, SCHEMA)

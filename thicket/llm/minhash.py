@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -41,17 +39,12 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().translate(_LOWER).split()
 
 
-@lru_cache(400_000)
-def _word_hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word)
-
-
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     """The distinct shingles of `size` words, as sorted 64-bit hashes; a shorter text is one shingle, none has none."""
     words = words_of(text or "")
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_word_hash, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = max(1, len(h) - size + 1)
     width = min(size, len(h))
     out = np.full(n, width, np.uint64)
@@ -128,18 +121,19 @@ def _checked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, p
     """Those of the pairs (a, b) whose sets meet the similarity: first by signature, then on the full sets."""
     sig = classes.select("node", "signature")
 
-    @F.pandas_udf("boolean")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([np.count_nonzero(np.frombuffer(x, ">u4") == np.frombuffer(y, ">u4")) >= SIGNATURE_FLOOR * HASHES for x, y in zip(a, b)], dtype=bool)
+    @F.arrow_udf("boolean")
+    def alike(a: pa.Array, b: pa.Array) -> pa.Array:
+        pairs = zip(a.to_pylist(), b.to_pylist())
+        return pa.array([bool(np.count_nonzero(np.frombuffer(x, ">u4") == np.frombuffer(y, ">u4")) >= SIGNATURE_FLOOR * HASHES) for x, y in pairs], pa.bool_())
 
-    @F.pandas_udf("boolean")
-    def linked(a: pd.Series, b: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def linked(a: pa.Array, b: pa.Array) -> pa.Array:
         out = []
-        for x, y in zip(a, b):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        for x, y in zip(a, b):  # one pair of sets at a time: they can be long
+            x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
             both = len(np.intersect1d(x, y, assume_unique=True))
             out.append(100 * both >= percent * (len(x) + len(y) - both))
-        return pd.Series(out, dtype=bool)
+        return pa.array(out, pa.bool_())
 
     likely = written(pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").filter(alike("sa", "sb")).select("a", "b"))
     nodes = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()

@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -106,9 +105,9 @@ def remove_later(df: DataFrame, cut: Cut) -> DataFrame:
 def remove_in_place(df: DataFrame, cut: Cut) -> DataFrame:
     """`df` with its texts cut as in `remove_later`; all other columns stay as they are."""
 
-    @F.pandas_udf("string")
-    def cut_text(texts: pd.Series, marked: pd.Series) -> pd.Series:
-        return pd.Series([cleaned(t, m, cut)[0] for t, m in zip(texts, marked)], dtype=object)
+    @F.arrow_udf("string")
+    def cut_text(texts: pa.Array, marked: pa.Array) -> pa.Array:
+        return pa.array([cleaned(t.as_py(), m.as_py(), cut)[0] for t, m in zip(texts, marked)], pa.string())
 
     marks = first_seen(df.select(F.col("doc_id").cast("long"), "text"), cut).select(F.col("doc_id").alias("__marked"), F.col("hashes").alias("__hashes"))
     joined = df.join(marks, F.col("doc_id").eqNullSafe(F.col("__marked")), "left")
