@@ -163,12 +163,15 @@ def encode_documents(df: DataFrame, path: str, pattern: str, id_col: str = "doc_
     return df.select(df[id_col].cast("long"), df[text_col]).mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def encode_and_decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_and_decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_memos: bool = False) -> DataFrame:
     """Per document: n_tokens, SHA-256 of its decimal ids joined by commas, SHA-256 of the bytes decoded from the ids.
 
     Every whole text is encoded and its ids are decoded again, in one pass without a shuffle.  Null or empty text: no
     tokens, digests of nothing.  A null id stays null, repeated rows each give a row, an empty table gives none; other
     columns are not read, so their names cannot clash.
+
+    keep_memos leaves a worker's memos, of bounded size, to its next task: quicker for a job that does nothing but encode.
+    Without it they end with the task, and other work on the same executors has that memory.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
@@ -182,6 +185,7 @@ def encode_and_decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc
                 ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
                 decoded_sha.append(hashlib.sha256(bpe.decode_text(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], schema=schema)
-        bpe.forget()
+        if not keep_memos:
+            bpe.forget()
 
     return df.select(df[id_col].cast("long"), df[text_col]).mapInArrow(run, SCHEMA)
