@@ -290,3 +290,12 @@ def test_near_duplicates_of_a_crowd_cut_into_blocks(spark, monkeypatch):
     ids = sorted(found)
     assert 1 < len(set(root)) < len(texts)
     assert [found[i] for i in ids] == [ids[r] for r in root]
+
+
+def test_keep_one_of_each_with_null_and_repeated_ids(spark):
+    """Rows that share an id, or have none, go or stay each by its own text, as in near_duplicates."""
+    rows = [(1, "one a b c d"), (5, "one a b c d"), (5, "two e f g h"), (None, "one A b c d"), (None, "three i j"), (None, ""), (None, None), (None, "four"), (None, "four"), (7, "")]
+    df = docs(spark, [t for _, t in rows], [i for i, _ in rows])
+    left = Counter((x["doc_id"], x["text"]) for x in minhash.keep_one_of_each(df, 4, 80).collect())
+    assert left == Counter(rows) - Counter([(5, "one a b c d"), (None, "one A b c d")])
+    assert Counter(i for i, _ in left.elements()) == Counter(x["doc_id"] for x in minhash.near_duplicates(df, 4, 80).collect() if x["kept"])

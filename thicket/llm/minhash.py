@@ -306,7 +306,7 @@ def _components(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, Da
         roots = connected_components(links.toDF("u", "v"))
     rooted = classes.select("node", "set_key", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows.select("doc_id", "n_shingles", "set_key"), rooted.join(smallest, "root").select("set_key", "component_id")
+    return rows.select("doc_id", "text_hash", "n_shingles", "set_key"), rooted.join(smallest, "root").select("set_key", "component_id")
 
 
 def keep_one_of_each(df: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -316,8 +316,8 @@ def keep_one_of_each(df: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     """
     docs = df.select(F.col("doc_id").cast("long"), "text")
     rows, component = _components(docs, size, percent)
-    # a row goes if its set belongs to a component with a smaller id
+    # a row goes if its set belongs to a component with a smaller id; rows of one id may have several texts
     leaves = rows.join(component, "set_key").filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = leaves.select(F.col("doc_id").alias("__id"), F.lit(True).alias("__gone")).distinct()
-    joined = df.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    gone = leaves.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"), F.lit(True).alias("__gone")).distinct()
+    joined = df.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__text")), "left")
     return joined.filter(F.col("__gone").isNull()).select(*df.columns)
