@@ -1,6 +1,8 @@
 import glob
 import math
 import os
+import re
+from collections import Counter
 
 import duckdb
 import pytest
@@ -144,3 +146,18 @@ def test_blocks_of_a_lone_leaf_and_missing_blocks(spark):
     assert blocks.parse_blocks("") == ([], [])
     with pytest.raises(ValueError):
         blocks.parse_blocks("\n".join([blocks.BEGIN, "subtree -1 -2 3", "0", "subtree -2 0 0", "null", blocks.END]))
+
+
+def test_documents_are_counted_over_all_words(spark):
+    """Counts and counts of counts by brute force, with no word turned into <unk>; perplexity over the same words."""
+    sents = [["<s>", *words, "</s>"] for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect() for line in (r[0] or "").split("\n") if (words := [w for w in re.split(r"[ \t\n\x0b\f\r]+", line) if w])]
+    want = Counter((k, w[i], w[i - 1] if k > 1 else None, w[i - 2] if k > 2 else None) for w in sents for i in range(len(w)) for k in (1, 2, 3) if i >= k - 1)
+    assert {(r["ord"], r["w0"], r["h1"], r["h2"]): r["cnt"] for r in QUERIES["ngram_counts_all_words"](spark, DATA).collect()} == want
+    coc = Counter((g[0], n) for g, n in want.items())
+    got = {r["ord"]: r for r in QUERIES["counts_of_counts_all_words"](spark, DATA).collect()}
+    assert all(got[k][f"n{n}"] == coc[k, n] for k in (1, 2, 3) for n in (1, 2, 3, 4))
+    assert {(r["ord"], r["r"]): r["n_r"] for r in QUERIES["good_turing_discounts_all_words"](spark, DATA).collect()}[3, 1] == coc[3, 1]
+    y = {r["ord"]: r["y"] for r in QUERIES["kn_discounts_all_words"](spark, DATA).collect()}
+    assert y[3] == pytest.approx(coc[3, 1] / (coc[3, 1] + 2 * coc[3, 2]), abs=1e-6)
+    found = QUERIES["kn_perplexity"](spark, DATA).first()
+    assert (found["sentences"], found["words"], found["zeroprobs"]) == (len(sents), sum(len(w) - 2 for w in sents), 0)

@@ -51,6 +51,11 @@ def _docs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return corpus.map_unknown(sentences, vocab), vocab
 
 
+def _all_words(spark: SparkSession, d: str) -> DataFrame:
+    """Counts over the sentences of all documents, with every word as it is: no vocabulary is given."""
+    return C.ngram_counts(corpus.text_sentences(_table(spark, d, "documents")), ORDER)
+
+
 def _flat(df: DataFrame, *more: str | Column) -> DataFrame:
     """ctx as columns h1 (newest) and h2."""
     return df.select("ord", F.get("ctx", F.lit(0)).alias("h1"), F.get("ctx", F.lit(1)).alias("h2"), *more)
@@ -89,6 +94,11 @@ def ngram_counts_docs(spark: SparkSession, d: str) -> DataFrame:
     return _flat(C.ngram_counts(_docs(spark, d)[0], ORDER), "w0", "cnt")
 
 
+@query
+def ngram_counts_all_words(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(_all_words(spark, d), "w0", "cnt")
+
+
 @query
 def ngram_counts_events(spark: SparkSession, d: str) -> DataFrame:
     return _flat(_counts(spark, d), "w0", "cnt")
@@ -141,6 +151,11 @@ def counts_of_counts(spark: SparkSession, d: str) -> DataFrame:
     return C.counts_of_counts(C.ngram_counts(_docs(spark, d)[0], ORDER))
 
 
+@query
+def counts_of_counts_all_words(spark: SparkSession, d: str) -> DataFrame:
+    return C.counts_of_counts(_all_words(spark, d))
+
+
 @query
 def kn_continuation(spark: SparkSession, d: str) -> DataFrame:
     return _flat(C.continuation(_counts(spark, d), ORDER), "w0", "cnt")
@@ -152,6 +167,12 @@ def kn_discounts(spark: SparkSession, d: str) -> DataFrame:
     return found.select("ord", *(F.round(c, 6).alias(c) for c in ("y", "d1", "d2", "d3")))
 
 
+@query
+def kn_discounts_all_words(spark: SparkSession, d: str) -> DataFrame:
+    found = S.discount_columns(C.counts_of_counts(_all_words(spark, d)))
+    return found.select("ord", *(F.round(c, 6).alias(c) for c in ("y", "d1", "d2", "d3")))
+
+
 @query
 def context_stats(spark: SparkSession, d: str) -> DataFrame:
     return _flat(C.context_stats(_counts(spark, d)), "total", "types", "min2", "min3")
@@ -177,7 +198,7 @@ def wb_perplexity(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def kn_perplexity(spark: SparkSession, d: str) -> DataFrame:
-    counts = written(C.ngram_counts(_docs(spark, d)[0], ORDER))
+    counts = written(_all_words(spark, d))
     model = S.train(counts, ORDER)
     test = C.test_counts(counts, ORDER).filter(F.col("w0") != corpus.BEGIN)
     return E.perplexity(model.prob(test), "p")
@@ -391,6 +412,11 @@ def good_turing_discounts(spark: SparkSession, d: str) -> DataFrame:
     return K.good_turing(C.ngram_counts(_docs(spark, d)[0], ORDER)).select("ord", "r", "n_r", F.round("factor", 6).alias("factor"))
 
 
+@query
+def good_turing_discounts_all_words(spark: SparkSession, d: str) -> DataFrame:
+    return K.good_turing(_all_words(spark, d)).select("ord", "r", "n_r", F.round("factor", 6).alias("factor"))
+
+
 def _seen_contexts(counts: DataFrame, order: int) -> DataFrame:
     """Each seen context of an order with every word: the events' vocabulary is six words."""
     words = counts.filter((F.col("ord") == 1) & (F.col("w0") != corpus.BEGIN)).agg(F.collect_set("w0").alias("ws"))
