@@ -230,6 +230,24 @@ def test_dedup(spark, run, cut):
     assert sorted((x["doc_id"] or 9, x["n_removed"]) for x in same) == [(2, 0), (2, 0), (9, 12)]
 
 
+def test_spans_without_sentence_ends():
+    """Passages of 50 words are found in texts of one sentence, between other words, and in whole copies of one sentence."""
+    r = random.Random(8)
+    word = lambda: f"{r.choice('abcdefgh')}{r.randint(0, 40)}"
+    for k in range(300):
+        passage = [word() + r.choice(["", "", "", ". "][: 3 + k % 2]) for _ in range(50)]
+        a, b = (" ".join([word() for _ in range(r.randint(0, 30))] + passage + [word() for _ in range(r.randint(0, 30))]) for _ in range(2))
+        assert {h for h, _, _ in span_dedup.cut_sentences(a)[1]} & {h for h, _, _ in span_dedup.cut_sentences(b)[1]}
+        units, _ = span_dedup.cut_sentences(a)
+        assert [w for x, y in units for w in a[x:y].split()] == a.split() and all(len(a[x:y].split()) <= 16 for x, y in units)
+    one = " ".join(word() for _ in range(128))
+    for text in (one, f"Other words before. {one}"):
+        units, runs = span_dedup.cut_sentences(text)
+        shared = {h for h, _, _ in span_dedup.cut_sentences(one)[1]}
+        gone = {i for h, a, b in runs if h in shared for i in range(a, b + 1)}
+        assert [i for i in range(len(units)) if i not in gone] == ([] if text == one else [0])
+
+
 def test_dedup_keeps_columns(spark):
     df = spark.createDataFrame([(1, "a\nb\nc\nd", "s", 7), (2, "x\na\nb\nc", "s", 7), (2, "x\na\nb\nc", "t", 7)], "doc_id long, text string, source string, n_chars long")
     got = sorted(tuple(r) for r in line_dedup.dedup_lines_keeping_columns(df).collect())

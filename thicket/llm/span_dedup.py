@@ -1,4 +1,4 @@
-"""Substring dedup: runs of consecutive sentences that stand before elsewhere are removed."""
+"""Substring dedup: runs of consecutive sentences, or pieces of long ones, that stand before elsewhere are removed."""
 
 from __future__ import annotations
 
@@ -10,21 +10,63 @@ from pyspark.sql import DataFrame
 
 from .unit_dedup import remove_later
 
-#: A run has so many sentences at least, and so many words: shorter ones stand in many texts by chance.
+#: A run has so many units at least, and so many words: shorter ones stand in many texts by chance.
 SENTENCES, WORDS = 2, 16
+#: No unit has more words: a longer sentence is cut before the greatest word of any so many consecutive ones.
+UNIT_WORDS = 16
 
 # A sentence ends with a full stop, question or exclamation mark before white space, or with the line.
 _SENTENCES = re.compile(r"\S[^\n]*?(?:[.!?]+(?=\s)|(?=\s*\n)|(?=\s*\Z))")
 
 
+def cut_places(words: list[str]) -> list[int]:
+    """Places of the greatest word, the last of equal ones, in each window of UNIT_WORDS words.
+
+    A place hangs on the words of one window alone, so copies of a passage are cut alike but for less than a window at
+    the ends, wherever the sentences around them begin and end; and no two places are further apart than a window.
+    """
+    places: list[int] = []
+    at = -1
+    for end in range(UNIT_WORDS, len(words) + 1):
+        if at < end - UNIT_WORDS:
+            best = max(words[end - UNIT_WORDS : end])
+            at = end - 1
+            while words[at] != best:
+                at -= 1
+            places.append(at)
+        elif words[end - 1] >= words[at]:
+            at = end - 1
+            places.append(at)
+    return places
+
+
+def _pieces(text: str, start: int, end: int) -> list[tuple[tuple[int, int], list[str]]]:
+    """The sentence at (start, end) as units of at most UNIT_WORDS words: places in the text, and words."""
+    words = text[start:end].split()
+    if len(words) <= UNIT_WORDS - 1:
+        return [((start, end), words)]
+    cuts = sorted({0, *cut_places(words), len(words)})
+    out, at, k = [], start, 0
+    for a, b in zip(cuts, cuts[1:]):
+        first = None
+        while k < b:
+            at = text.index(words[k], at)
+            first = at if first is None else first
+            at += len(words[k])
+            k += 1
+        out.append(((first, at), words[a:b]))
+    return out
+
+
 def cut_sentences(text: str, sentences: int = SENTENCES, words: int = WORDS) -> tuple[list[tuple[int, int]], list[tuple[bytes, int, int]]]:
-    """Sentences, and from each one forwards and backwards the shortest run of consecutive ones that is long enough.
+    """Units, and from each one forwards and backwards the shortest run of consecutive ones that is long enough.
 
-    Where a run begins and ends hangs on its own words alone, so copies of a passage have the same runs; those that end
-    with the passage's last sentence or begin with its first are among them.
+    Units are sentences, long ones in pieces.  Where a run begins and ends hangs on its own words alone, so copies of a
+    passage have the same runs; those that end with the passage's last unit or begin with its first are among them.
+    A passage of 3 * UNIT_WORDS words, cut out of whatever sentences, has such a run.
     """
-    units = [m.span() for m in _SENTENCES.finditer(text)]
-    own = [text[a:b].split() for a, b in units]
+    cut = [p for m in _SENTENCES.finditer(text) for p in _pieces(text, *m.span())]
+    units, own = [u for u, _ in cut], [w for _, w in cut]
     sizes = [len(w) for w in own]
     hashes = [xxhash.xxh3_128_digest(" ".join(w).encode()) for w in own]
     spans = set()
@@ -49,14 +91,14 @@ def cut_sentences(text: str, sentences: int = SENTENCES, words: int = WORDS) ->
 
 
 def dedup_spans(df: DataFrame, sentences: int = SENTENCES, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Remove sentences in later copies of any run of consecutive sentences.
+    """Remove units in later copies of any run of consecutive units: sentences, those of 16 words or more in pieces.
 
-    Runs have two sentences and 16 words at least and are compared with those of all documents; words count, white
+    Runs have two units and 16 words at least and are compared with those of all documents; words count, white
     space does not.  A run's first place (smallest doc_id, then the first in the text) keeps it; in all others the
-    sentences it covers go, those of overlapping runs once.  Returns (doc_id, text, n_units, n_removed) for each row: the
-    text left, its sentences, those removed.
+    units it covers go, those of overlapping runs once.  Returns (doc_id, text, n_units, n_removed) for each row: the
+    text left, its units, those removed.  Up to 15 words at an end of a copy that lies inside a sentence may stay.
 
-    Null text stays null with no sentences; texts without a run stay as they are.  Rows of one doc_id count as one place,
+    Null text stays null with no units; texts without a run stay as they are.  Rows of one doc_id count as one place,
     so repeated rows all keep what is first with them.  A null id comes last.  An empty table gives none; other columns
     of `df` are not read.
     """
