@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -13,29 +12,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-
-#: Entries that the memos of one task hold at most: segments with their ids, pairs with their verdict.
-MAX_SEGMENTS, MAX_PAIRS = 400_000, 200_000
-
-# Pieces that the split pattern never cuts or joins differently than on the whole text: a word with the space before it,
-# or white space up to the character before the next word.
-_SEGMENTS = re.compile(r" ?\S+|\s+(?=\s\S)|\s+")
-# Python counts these as white space, the split pattern does not.
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
-
+from .memo import Memo
 
-class Segments(dict):
-    """Memo from a segment to what `make` gives for it; past `most` entries, new ones are no longer kept."""
-
-    def __init__(self, make: Callable, most: int):
-        self.make, self.most = make, most
+SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
-    def __missing__(self, key):
-        value = self.make(key)
-        if len(self) < self.most:
-            self[key] = value
-        return value
+#: Bytes that the memos of one task hold at most, about: matches with their ids, pairs with their verdict.
+MATCH_BYTES, PAIR_BYTES = 96 << 20, 32 << 20
 
 
 class ByteBPE:
@@ -45,14 +27,15 @@ class ByteBPE:
         self.pattern = regex.compile(pattern)
         self.rank = {k.decode("latin-1"): v for k, v in ranks.items()}
         self.bytes_of = {str(v): k for k, v in ranks.items()}
-        self.longest_token = max(map(len, ranks))
         self.automaton = ahocorasick.Automaton()
         for token in self.rank:
-            self.automaton.add_word(token, len(token))
+            self.automaton.add_word(token, token)
         self.automaton.make_automaton()
-        self.shorter = Segments(self._shorter, MAX_PAIRS)
-        self.fits = Segments(self._fits, MAX_PAIRS)
-        self.ids_text = Segments(lambda s: ",".join(map(str, self.encode_exactly(s))), MAX_SEGMENTS)
+        self.window = max(map(len, ranks))
+        self.prefix: dict[str, str] = {}
+        self.halves: dict[str, tuple[str, str] | None] = {}
+        self.fits = Memo(self._fits, PAIR_BYTES)
+        self.ids_text = Memo(self._ids_text, MATCH_BYTES)
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> ByteBPE:
@@ -61,26 +44,54 @@ class ByteBPE:
 
     def forget(self) -> None:
         """Empty the memos: a worker outlives its task, and holds no more than the vocabulary in between."""
-        for memo in (self.shorter, self.fits, self.ids_text):
+        for memo in (self.fits, self.ids_text):
             memo.clear()
 
-    def _shorter(self, token: str) -> str | None:
-        """The longest token that is a proper prefix of `token`."""
-        return next((token[:n] for n in range(len(token) - 1, 0, -1) if token[:n] in self.rank), None)
-
-    def merged(self, piece: str) -> list[str]:
-        """Merges by rank until none is left: what an encoding is by definition; for short pieces only."""
+    def merged(self, piece: str, least: int = 1) -> list[str]:
+        """Merges by rank until none or `least` parts are left: what an encoding is by definition; for short pieces only."""
         parts, rank = list(piece), self.rank
-        while len(parts) > 1:
+        while len(parts) > least:
             best = min(range(len(parts) - 1), key=lambda i: rank.get(parts[i] + parts[i + 1], 1 << 60))
             if parts[best] + parts[best + 1] not in rank:
                 break
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
         return parts
 
+    def _halves(self, token: str) -> tuple[str, str] | None:
+        """The two tokens that merge into `token` when it is encoded by itself; None if no such merge comes after both."""
+        if token not in self.halves:
+            parts = self.merged(token, 2)
+            regular = len(parts) == 2 and max(self.rank[p] for p in parts) < self.rank[token]
+            self.halves[token] = tuple(parts) if regular else None
+        return self.halves[token]
+
     def _fits(self, pair: tuple[str, str]) -> bool:
-        """Whether the merges leave these two tokens as they are when they stand side by side."""
-        return self.merged(pair[0] + pair[1]) == list(pair)
+        """Whether the merges leave these two tokens as they are when they stand side by side.
+
+        Merges are undone from the last one on.  Between the parts that then touch, a merge across must not come before
+        the one undone; of equal ranks the one further left comes first.
+        """
+        a, b = pair
+        rank, before = self.rank, 1 << 60
+        while True:
+            if rank.get(a + b, before) < before:
+                return False
+            if len(a) == len(b) == 1:
+                return True
+            left = len(b) == 1 or len(a) > 1 and rank[a] > rank[b]
+            halves = self._halves(a if left else b)
+            if halves is None:  # ranks do not tell the order of merges: go by the definition
+                return self.merged(pair[0] + pair[1]) == list(pair)
+            if left:
+                before, a = min(before, rank[a]), halves[1]
+            else:
+                before, b = min(before, rank[b] + 1), halves[0]
+
+    def _shorter(self, token: str) -> str:
+        """The longest token that is a proper prefix of `token`; empty if there is none."""
+        if token not in self.prefix:
+            self.prefix[token] = next((token[:n] for n in range(len(token) - 1, 0, -1) if token[:n] in self.rank), "")
+        return self.prefix[token]
 
     def tokens(self, piece: str) -> list[str]:
         """Tokens of one match of the pattern, as Latin-1 text.
@@ -91,42 +102,43 @@ class ByteBPE:
         """
         if piece in self.rank:
             return [piece]
-        n = len(piece)
-        longest = [1] * n
-        for end, size in self.automaton.iter(piece):
-            if size > longest[end - size + 1]:
-                longest[end - size + 1] = size
+        fits, longest, n = self.fits, self.automaton.iter_long, len(piece)
         out: list[str] = []
         dead: set[int] = set()
-        at, token = 0, piece[: longest[0]]
+        ahead = longest(piece)  # the longest token from where the one before ended
+        at, last, token = 0, "", next(ahead)[1]
         while True:
-            last = out[-1] if out else None
-            while token is not None:
-                end = at + len(token)
-                if end not in dead and (last is None or self.fits[last, token]):
-                    break
-                token = self.shorter[token]
-            if token is None:
-                dead.add(at)
-                token = out.pop()
-                at -= len(token)
+            end = at + len(token)
+            if end in dead or last and not fits[last, token]:
+                token, ahead = self._shorter(token), None
+                while not token:
+                    dead.add(at)
+                    token = out.pop()
+                    at -= len(token)
+                    token, last = self._shorter(token), out[-1] if out else ""
                 continue
             out.append(token)
-            at = end
-            if at == n:
+            if end == n:
                 return out
-            token = piece[at : at + longest[at]]
+            at, last = end, token
+            if ahead is None and n > self.window:  # a search begun anew reads all it is given: here, one token's length
+                token = next(longest(piece[at : at + self.window]))[1]
+                continue
+            ahead = ahead or longest(piece, at)
+            token = next(ahead)[1]
 
     def encode_exactly(self, text: str) -> list[int]:
         """Ids of a text, each match of the pattern by itself."""
         rank = self.rank
         return [rank[t] for m in self.pattern.findall(text) for t in self.tokens(m.encode().decode("latin-1"))]
 
+    def _ids_text(self, match: str) -> str:
+        rank = self.rank
+        return ",".join([str(rank[t]) for t in self.tokens(match.encode().decode("latin-1"))])
+
     def encode_text(self, text: str) -> str:
-        """Decimal ids of a whole text joined by commas; memoised by segment."""
-        if _ODD_SPACE.search(text):
-            return ",".join(map(str, self.encode_exactly(text)))
-        return ",".join(map(self.ids_text.__getitem__, _SEGMENTS.findall(text)))
+        """Decimal ids of a whole text joined by commas; memoised by match of the pattern."""
+        return ",".join(map(self.ids_text.__getitem__, self.pattern.findall(text)))
 
     def encode(self, text: str) -> list[int]:
         ids = self.encode_text(text)
@@ -163,15 +175,12 @@ def encode_documents(df: DataFrame, path: str, pattern: str, id_col: str = "doc_
     return df.select(df[id_col].cast("long"), df[text_col]).mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def encode_and_decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_memos: bool = False) -> DataFrame:
+def encode_and_decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: n_tokens, SHA-256 of its decimal ids joined by commas, SHA-256 of the bytes decoded from the ids.
 
     Every whole text is encoded and its ids are decoded again, in one pass without a shuffle.  Null or empty text: no
     tokens, digests of nothing.  A null id stays null, repeated rows each give a row, an empty table gives none; other
-    columns are not read, so their names cannot clash.
-
-    keep_memos leaves a worker's memos, of bounded size, to its next task: quicker for a job that does nothing but encode.
-    Without it they end with the task, and other work on the same executors has that memory.
+    columns are not read, so their names cannot clash.  Memos have a bounded number of bytes and end with their task.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
@@ -185,7 +194,6 @@ def encode_and_decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc
                 ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
                 decoded_sha.append(hashlib.sha256(bpe.decode_text(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], schema=schema)
-        if not keep_memos:
-            bpe.forget()
+        bpe.forget()
 
     return df.select(df[id_col].cast("long"), df[text_col]).mapInArrow(run, SCHEMA)

@@ -11,25 +11,16 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
+from .memo import Memo
+
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long"
 
-#: Entries that the memos of one Python worker hold at most: words with their counts, pairs with their verdict.
-MAX_WORDS, MAX_PAIRS = 800_000, 400_000
+#: Bytes that the memos of one task hold at most, about: words with their counts, pairs with their verdict.
+WORD_BYTES, PAIR_BYTES = 96 << 20, 32 << 20
 
 SPACE = "\u2581"
 
 
-class _Memo(dict):
-    def __init__(self, make, most: int):
-        self.make, self.most = make, most
-
-    def __missing__(self, key):
-        value = self.make(key)
-        if len(self) < self.most:
-            self[key] = value
-        return value
-
-
 class PrefixCounter:
     """Counts tokens at every prefix of a text without encoding each prefix anew.
 
@@ -53,8 +44,8 @@ class PrefixCounter:
             self.automaton.add_word(p.replace(SPACE, " "), p.replace(SPACE, " "))
         self.automaton.make_automaton()
         self.rank = {p.replace(SPACE, " "): -s for p, s in self.score.items()}
-        self.fits = _Memo(self._fits, MAX_PAIRS)
-        self.count = _Memo(lambda w: self.prefixes(w)[-1], MAX_WORDS)
+        self.fits = Memo(self._fits, PAIR_BYTES)
+        self.count = Memo(lambda w: self.prefixes(w)[-1], WORD_BYTES)
 
     def merged(self, piece: str) -> list[str]:
         """Merges of adjacent symbols, best score first and then leftmost: an encoding by definition; for short pieces."""
@@ -71,22 +62,32 @@ class PrefixCounter:
 
     def prefixes(self, word: str) -> list[int]:
         """Tokens of word[:i] for i from 0 to its length; characters that no piece has count their UTF-8 bytes."""
-        ends: list[list[str]] = [[] for _ in word]
-        for end, piece in self.automaton.iter(word):
-            ends[end].append(piece)
         last, counts, fits = [""], [0], self.fits
-        for i, c in enumerate(word):
-            for piece in ends[i]:
-                before = last[i + 1 - len(piece)]
-                if not before or fits[before, piece]:
-                    last.append(piece)
-                    counts.append(counts[i + 1 - len(piece)] + 1)
-                    break
-            else:
-                last.append(c)
-                counts.append(counts[i] + len(c.encode()))
+        for end, piece in self.automaton.iter(word):  # in order of their ends
+            if len(last) == end + 2:
+                continue  # the one token that ends here is found
+            while len(last) <= end:
+                self._single(word, last, counts)
+            before = last[end + 1 - len(piece)]
+            if not before or fits[before, piece]:
+                last.append(piece)
+                counts.append(counts[end + 1 - len(piece)] + 1)
+        while len(last) <= len(word):
+            self._single(word, last, counts)
         return counts
 
+    @staticmethod
+    def _single(word: str, last: list[str], counts: list[int]) -> None:
+        """No piece ends at the next character: it stands alone, as its bytes."""
+        c = word[len(last) - 1]
+        last.append(c)
+        counts.append(counts[-1] + len(c.encode()))
+
+    def forget(self) -> None:
+        """Empty the memos: a worker outlives its task, and holds no more than the model in between."""
+        self.fits.clear()
+        self.count.clear()
+
     def split(self, text: str) -> list[str]:
         """Words, each with the spaces before it, of the text behind the space that the model puts first."""
         return self.words.findall(f" {text}".replace(SPACE, " ")) if text else []
@@ -125,7 +126,8 @@ def count_tokens(df: DataFrame, model_file: str, limit: int = 4096, id_col: str
     """Tokens of every whole text under a sentence-piece BPE model, without begin, end or special tokens.
 
     n_bytes: UTF-8 bytes.  over_limit: n_tokens > limit.  fit_chars: code points of the longest prefix of `limit` tokens
-    at most, read off the prefix counts.  One pass without a shuffle.
+    at most, read off the prefix counts.  One pass without a shuffle; memos have a bounded number of bytes and end with
+    their task.
 
     Null or empty text: 0 bytes, 0 tokens.  A null id stays null, repeated rows each give a row, an empty table gives
     none; other columns are not read, so their names cannot clash.
@@ -142,5 +144,6 @@ def count_tokens(df: DataFrame, model_file: str, limit: int = 4096, id_col: str
                 rows.append((len(text.encode()), n, n > limit, pieces.fit(text, limit) if n > limit else len(text)))
             columns = zip(*rows) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), f.type) for c, f in zip(columns, list(schema)[1:]))], schema=schema)
+        pieces.forget()
 
     return df.select(df[id_col].cast("long"), df[text_col]).mapInArrow(run, SCHEMA)
