@@ -1,7 +1,10 @@
 """Removal of later copies of runs of units (lines or sentences) that stand somewhere else before.
 
-Both operators go the same way: hash every run in every document, find for each hash the first document that has it,
-join that back to the documents behind it, and merge the covered places there.
+Both operators go the same way: cut every text once and write the hash of every run with its place, find for each hash
+its first place, join that back to the runs, and merge the places of all other runs by document.
+
+A place is (doc_id, text_hash, unit): ids ascend, null last; rows of one id follow each other by the hash of their text; rows
+alike in both are one document, and all of them keep what is first there.
 """
 
 from __future__ import annotations
@@ -13,102 +16,109 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import small, written
+
 #: Gives for a text its units, as (start, end) in characters, and its runs, as (hash of 16 bytes, first unit, last unit).
 Cut = Callable[[str], tuple[list[tuple[int, int]], list[tuple[bytes, int, int]]]]
 
-RESULT = "doc_id long, text string, n_units long, n_removed long"
-
-
-def _later_here(runs: list[tuple[bytes, int, int]]) -> list[tuple[int, int]]:
-    """Runs that the same text has before."""
-    seen: set[bytes] = set()
-    later = []
-    for h, a, b in runs:
-        if h in seen:
-            later.append((a, b))
-        seen.add(h)
-    return later
-
-
-def covered(spans: list[tuple[int, int]]) -> list[int]:
-    """Places in any of the spans, ascending, once each: overlapping spans merge."""
-    out: list[int] = []
-    for a, b in sorted(spans):
-        out.extend(range(max(a, out[-1] + 1) if out else a, b + 1))
-    return out
-
-
-def without(text: str, units: list[tuple[int, int]], gone: list[int]) -> str:
-    """The text without these units and without the separator behind each."""
-    out, at = [], 0
-    for i in gone:
-        out.append(text[at : units[i][0]])
-        at = units[i + 1][0] if i + 1 < len(units) else len(text)
-    return "".join([*out, text[at:]]).rstrip("\n ") if gone else text
-
-
-def _bytes_of(h1: str, h2: str) -> Column:
-    """The 16 bytes whose halves these two columns of longs are."""
-    return F.unhex(F.concat(*(F.lpad(F.hex(c), 16, "0") for c in (h1, h2))))
+RUNS = "doc_id long, text_hash long, h1 long, h2 long, first int, last int, start int, stop int"
+#: A run with more than one in so many of all runs is hot: there are fewer hot runs than this, so that they are sent out.
+HOT = 2000
 
 
-def cleaned(text: str | None, marked: list[bytes] | None, cut: Cut) -> tuple[str | None, int, int]:
-    """The text without the runs in `marked` and without later runs of its own; its units; how many of them went."""
-    if text is None:
-        return None, 0, 0
-    units, runs = cut(text)
-    elsewhere = set(() if marked is None else marked)
-    places = covered(_later_here(runs) + [(a, b) for h, a, b in runs if h in elsewhere])
-    return without(text, units, places), len(units), len(places)
-
-
-def first_seen(df: DataFrame, cut: Cut) -> DataFrame:
-    """(doc_id, hashes): for each document the runs that a document of a smaller doc_id has too.
-
-    `df` has (doc_id, text).  A run comes once a document into the shuffle; of each, only the smallest doc_id and
-    the count are kept, by partial aggregation, so a run that all documents share is one row for each task.
-    """
-    schema = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
+def runs_of(docs: DataFrame, cut: Cut) -> DataFrame:
+    """RUNS of (doc_id, text_hash, text): units from `first` to `last`, characters from `start` up to the unit behind them."""
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "text_hash", "h1", "h2")] + [(c, pa.int32()) for c in ("first", "last", "start", "stop")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hashes = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = {h for h, _, _ in cut(text.as_py() or "")[1]}
-                ids += [doc_id] * len(own)
-                hashes += own
-            halves = np.frombuffer(b"".join(hashes), ">i8")
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(halves[k::2].astype("i8")) for k in (0, 1))], schema=schema)
+            hashes, places, n_runs = [], [], []
+            for text in batch.column(2):
+                text = text.as_py() or ""
+                units, runs = cut(text)
+                starts = [a for a, _ in units] + [len(text)]
+                hashes += [h for h, _, _ in runs]
+                places += [(a, b, starts[a], starts[b + 1]) for _, a, b in runs]
+                n_runs.append(len(runs))
+            of = np.repeat(np.arange(len(n_runs)), n_runs)
+            halves = np.frombuffer(b"".join(hashes), ">i8").astype("i8")
+            columns = np.array(places, "i4").reshape(-1, 4).T
+            keys = [batch.column(k).take(pa.array(of)) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*keys, *(pa.array(halves[k::2]) for k in (0, 1)), *map(pa.array, columns)], schema=schema)
+
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, RUNS)
+
+
+def later_places(runs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, spans): for each document its runs that stand before, there or elsewhere; `runs` is a written table.
+
+    Of each hash only the least place and the count are kept, by partial aggregation, so a run that all documents
+    share is one row for each task.  Its rows are joined back without being brought together: hot runs are sent out.
+    The spans of a document are no more than its own runs.
+    """
+    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash", "first")
+    shared = written(runs.groupBy("h1", "h2").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    often = max(2, runs.count() // HOT)
+    hot, rare = F.broadcast(shared.filter(F.col("n") > often)), shared.filter(F.col("n") <= often)
+    key = ["h1", "h2"]
+    found = runs.join(hot, key).drop("n").unionByName(runs.join(hot.select(*key), key, "left_anti").join(rare, key).drop("n"))
+    later = found.filter(~place.eqNullSafe(F.col("least")))
+    return later.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "stop", "first", "last")).alias("spans"))
 
-    runs = df.select("doc_id", "text").mapInArrow(run, "doc_id long, h1 long, h2 long")
-    shared = runs.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first is not null")
-    later = runs.join(shared, ["h1", "h2"]).filter(F.col("doc_id").isNull() | (F.col("doc_id") > F.col("first")))
-    # a document's own runs are as many as its text has: no group is larger than the longest text
-    return later.groupBy("doc_id").agg(F.collect_set(_bytes_of("h1", "h2")).alias("hashes"))
 
+def without(text: str, spans: list[dict]) -> tuple[str, int]:
+    """The text without the characters of any of the spans, and how many units these hold; overlapping spans merge.
 
-def remove_later(df: DataFrame, cut: Cut) -> DataFrame:
-    """RESULT for every row of `df` (doc_id, text)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_units", pa.int64()), ("n_removed", pa.int64())])
+    Where the end goes, so does the one character of white space before it.
+    """
+    out, at, unit, n = [], 0, 0, 0
+    for s in sorted(spans, key=lambda s: (s["start"], s["stop"])):
+        if s["start"] > at:
+            out.append(text[at : s["start"]])
+        at = max(at, s["stop"])
+        n += max(0, s["last"] + 1 - max(unit, s["first"]))
+        unit = max(unit, s["last"] + 1)
+    left = "".join([*out, text[at:]])
+    return left[:-1] if at == len(text) and left[-1:].isspace() else left, n
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [cleaned(text.as_py(), marked.as_py(), cut) for text, marked in zip(batch.column(1), batch.column(2))]
-            columns = zip(*rows) if rows else [[]] * 3
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), f.type) for c, f in zip(columns, list(schema)[1:]))], schema=schema)
 
-    docs = df.select("doc_id", "text")
-    marks = first_seen(docs, cut).withColumnRenamed("doc_id", "marked")
-    return docs.join(marks, F.col("doc_id").eqNullSafe(F.col("marked")), "left").select("doc_id", "text", "hashes").mapInArrow(run, RESULT)
+def _left(text: Column, spans: Column) -> Column:
+    """A struct (text, n) of what `without` gives; rows without spans stay as they are."""
 
+    def run(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        rows = [without(t.as_py(), s.as_py()) if s.is_valid else (t.as_py(), 0) for t, s in zip(texts, spans)]
+        return pa.StructArray.from_arrays([pa.array([t for t, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["text", "n"])
 
-def remove_in_place(df: DataFrame, cut: Cut) -> DataFrame:
-    """`df` with its texts cut as in `remove_later`; all other columns stay as they are."""
+    return F.arrow_udf(run, "struct<text: string, n: bigint>")(text, spans)
 
-    @F.arrow_udf("string")
-    def cut_text(texts: pa.Array, marked: pa.Array) -> pa.Array:
-        return pa.array([cleaned(t.as_py(), m.as_py(), cut)[0] for t, m in zip(texts, marked)], pa.string())
 
-    marks = first_seen(df.select(F.col("doc_id").cast("long"), "text"), cut).select(F.col("doc_id").alias("__marked"), F.col("hashes").alias("__hashes"))
-    joined = df.join(marks, F.col("doc_id").eqNullSafe(F.col("__marked")), "left")
-    return joined.withColumn("text", cut_text("text", "__hashes")).select(*df.columns)
+def _cut_later(rows: DataFrame, key: tuple[Column, Column, Column], cut: Cut) -> DataFrame:
+    """`rows` with `_left`, a struct of the text left and the number of units removed; `key`: doc_id, hash of the text, text.
+
+    Where the marked documents are counted to be few, only their texts are shuffled; else all.
+    """
+    doc_id, text_hash, text = key
+    docs = rows.select(doc_id.alias("doc_id"), text_hash.alias("text_hash"), text.alias("text"))
+    marks = written(later_places(written(runs_of(docs, cut)))).toDF("_id", "_hash", "_spans")
+    same = doc_id.eqNullSafe(F.col("_id")) & (text_hash == F.col("_hash"))
+    keys = marks.select("_id", "_hash")
+    if small(keys) is keys:
+        return rows.join(marks, same, "left").withColumn("_left", _left(text, F.col("_spans"))).drop(*marks.columns)
+    keys = F.broadcast(keys)
+    marked = rows.join(keys, same, "left_semi").join(marks, same).withColumn("_left", _left(text, F.col("_spans"))).drop(*marks.columns)
+    return marked.unionByName(rows.join(keys, same, "left_anti").withColumn("_left", F.struct(text.alias("text"), F.lit(0).cast("long").alias("n"))))
+
+
+def remove_later(df: DataFrame, cut: Cut, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, n_removed) for every row of `df`."""
+    docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
+    done = _cut_later(docs, (F.col("doc_id"), F.xxhash64("text"), F.col("text")), cut)
+    return done.select("doc_id", F.col("_left.text").alias("text"), F.col("_left.n").alias("n_removed"))
+
+
+def remove_in_place(df: DataFrame, cut: Cut, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`df` with its texts cut as in `remove_later`; all other columns stay as they are, whatever their names."""
+    row = F.col("row")
+    text = row[text_col]
+    done = _cut_later(df.select(F.struct(*(df[c] for c in df.columns)).alias("row")), (row[id_col].cast("long"), F.xxhash64(text), text), cut)
+    return done.select(*((F.col("_left.text") if c == text_col else row[c]).alias(c) for c in df.columns))
