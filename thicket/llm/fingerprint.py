@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,8 @@ _TO_BUCKET = np.random.RandomState(7).permutation(_TRIPLETS) % BUCKETS
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 #: Ranges of doc_id for each shuffle partition, so that a partition gets several.
 RANGES_PER_PARTITION = 4
-_FAN = 64
+#: Sampled ids for each range, from which its bounds are taken.
+SAMPLES_PER_RANGE = 20
 
 
 def digest(data: bytes) -> bytes:
@@ -60,48 +61,64 @@ def likeness(a: bytes, b: bytes) -> float:
     return 1 - difference(a, b) / MOST
 
 
-def _bucket(key: str, bounds: list[int]) -> Column:
-    """How many of the sorted `bounds` lie below the key: found in two steps of _FAN comparisons."""
-    if not bounds:
-        return F.lit(0)
-    width = math.ceil(len(bounds) / _FAN)
-    parts = [bounds[i : i + width] for i in range(0, len(bounds), width)]
-    outer = F.expr(f"size(filter(array({','.join(f'{p[-1]}L' for p in parts)}), b -> b < `{key}`))")
-    inner = F.expr(f"array({','.join('array(' + ','.join(f'{b}L' for b in p) + ')' for p in [*parts, [1 << 62]])})")
-    return outer * width + F.size(F.filter(F.get(inner, outer), lambda b: b < F.col(key)))
+def _bounds(docs: DataFrame, n_ranges: int) -> tuple[np.ndarray, int]:
+    """Sorted ids that cut (doc_id, ...) into `n_ranges` ranges of like numbers of rows, about, and the ranges for null ids.
+
+    They come from a sample of SAMPLES_PER_RANGE ids a range.  An id that many rows share comes as often as it fills ranges.
+    The bounds say where rows are worked on, not what is worked out.
+    """
+    n = docs.count()
+    some = docs.select("doc_id").sample(min(1.0, SAMPLES_PER_RANGE * n_ranges / max(n, 1)), 3).toArrow().column(0)
+    ids = np.sort(some.drop_null().to_numpy())
+    nulls = math.ceil(n_ranges * some.null_count / max(len(some), 1))
+    return ids[np.linspace(0, len(ids), n_ranges + 1)[1:-1].astype(int)] if len(ids) else ids, max(1, nulls)
+
+
+def _range(bounds: np.ndarray, nulls: int) -> Callable[[Column, Column], Column]:
+    """The range of (doc_id, text_hash): ranges ascend in both, null ids last; rows of one id that fills several are dealt by hash."""
+
+    def run(ids: pa.Array, hashes: pa.Array) -> pa.Array:
+        missing = ids.is_null().to_numpy(zero_copy_only=False)
+        own = ids.fill_null(0).to_numpy()
+        first, behind = np.searchsorted(bounds, own, "left"), np.searchsorted(bounds, own, "right")
+        start, width = np.where(missing, len(bounds) + 1, first), np.where(missing, nulls, behind - first)
+        step = (hashes.to_numpy().astype(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)
+        return pa.array((start + (width.astype(np.uint64) * step >> np.uint64(32)).astype(np.int64)).astype("i4"))
+
+    return F.arrow_udf(run, "int")
 
 
 def ranged(docs: DataFrame, n_ranges: int) -> DataFrame:
-    """Rows (doc_id, text) with `range`, ascending in doc_id, and behind each range its successor as `ghost` rows.
+    """Rows (doc_id, text_hash, text) with `range`, ascending, and behind each range its successor as `ghost` rows.
 
-    Bounds are percentiles of doc_id, n_ranges numbers at most.  The successor of a range is the smallest doc_id of the next range that
-    has rows, of the last range that of the first: a row a range is sent twice, whatever the number of documents.
+    The successor of a range is the first row of the next range that has rows, of the last range that of the first: a row
+    a range is sent twice, whatever the number of documents.  The driver holds a few numbers for each range.
     """
     spark = docs.sparkSession
-    probs = [i / n_ranges for i in range(1, n_ranges)]
-    bounds = docs.agg(F.percentile_approx("doc_id", probs, 20 * n_ranges).alias("b")).first()["b"] if probs else None
-    dealt = docs.withColumn("range", F.when(F.col("doc_id").isNotNull(), _bucket("doc_id", sorted(set(bounds or [])))).otherwise(n_ranges))
-    heads = sorted((r["range"], r["head"]) for r in dealt.groupBy("range").agg(F.min("doc_id").alias("head")).collect())
-    follows = spark.createDataFrame([(head, heads[i - 1][0]) for i, (_, head) in enumerate(heads)], "head long, to int")
-    at_head = docs.join(F.broadcast(follows), F.col("doc_id").eqNullSafe(F.col("head")))
-    one = at_head.groupBy("to").agg(F.min(F.struct("doc_id", "text")).alias("x"))  # of rows that share the smallest id
-    ghosts = one.select("x.doc_id", "x.text", F.col("to").alias("range"), F.lit(True).alias("ghost"))
-    return dealt.select("doc_id", "text", "range", F.lit(False).alias("ghost")).unionByName(ghosts)
+    dealt = docs.withColumn("range", _range(*_bounds(docs, n_ranges))("doc_id", "text_hash"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash"))
+    heads = sorted((r["range"], r["head"]["doc_id"], r["head"]["text_hash"]) for r in dealt.groupBy("range").agg(least.alias("head")).collect())
+    follows = spark.createDataFrame([(i, h, heads[k - 1][0]) for k, (_, i, h) in enumerate(heads)], "head long, head_hash long, to int")
+    at_head = docs.join(F.broadcast(follows), F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("text_hash") == F.col("head_hash")))
+    one = at_head.groupBy("to", "doc_id", "text_hash").agg(F.min("text").alias("text"))  # rows alike in both
+    ghosts = one.select("doc_id", "text_hash", "text", F.col("to").alias("range"), F.lit(True).alias("ghost"))
+    return dealt.select("doc_id", "text_hash", "text", "range", F.lit(False).alias("ghost")).unionByName(ghosts)
 
 
 def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every whole text, of its edited text, and their likeness; RESULT for each row of `df`.
 
     Edited: the last floor(n_chars / 2) code points give way to the first as many (or all) of the next document in
-    ascending doc_id, of the first one behind the last.  Documents are dealt by ranges of doc_id, sorted within a range
-    and read once; each range also gets its successor.  edited_sha256 is of the edited text in UTF-8; near_edited and
+    ascending doc_id, of the first one behind the last.  Documents are dealt by ranges of doc_id and text hash, sorted
+    within a range and read once; each range also gets its successor.  edited_sha256 is of the edited text in UTF-8; near_edited and
     near_next are the likeness of the text to the edited text and to the next document.
 
-    Null text: empty.  Null ids come last.  Rows of one doc_id follow each other by text, null first, and equal rows in
-    any order, so that the result is the same in every run.  A single row follows itself; an empty table gives none.
+    Null text: empty.  Null ids come last.  Rows of one doc_id, and those without one, follow each other by the hash of their
+    text, and equal rows in any order, so that the result is the same in every run; many such rows fill several ranges.
+    A single row follows itself; an empty table gives none.
     Other columns of `df` are not read.
     """
-    docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
+    docs = df.select(df[id_col].cast("long").alias("doc_id"), F.xxhash64(df[text_col]).alias("text_hash"), df[text_col].alias("text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((c, pa.string()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
@@ -127,4 +144,4 @@ def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
 
     dealt = ranged(docs, RANGES_PER_PARTITION * n).repartition(n, "range")
-    return dealt.sortWithinPartitions("range", "ghost", F.col("doc_id").asc_nulls_last(), "text").select("doc_id", "text", "range", "ghost").mapInArrow(run, RESULT)
+    return dealt.sortWithinPartitions("range", "ghost", F.col("doc_id").asc_nulls_last(), "text_hash", "text").select("doc_id", "text", "range", "ghost").mapInArrow(run, RESULT)
