@@ -1,16 +1,22 @@
 import base64
+import functools
 import hashlib
+import math
 import random
+import re
+import time
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
 import tiktoken
 import xxhash
 import zstandard
+from pyspark.sql import functions as F
 
-from thicket.llm import byte_bpe, components, fingerprint, license_scan, line_dedup, minhash, mixing, quality_rules, span_dedup, token_counts, warc_zstd
+from thicket.llm import byte_bpe, components, fingerprint, license_scan, line_dedup, memo, minhash, mixing, quality_rules, span_dedup, token_counts, warc_zstd
 
 RANKS, MODEL = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("piece_bpe_32k.model")
 DOCS = "doc_id long, text string, source string, n_words string, score string, h string"
@@ -38,21 +44,76 @@ def test_licenses(spark):
     assert [got[i]["n_base"] for i in range(7)] == [2, 1, 0, 0, 0, 1, 0]
     assert (got[0]["first_word"], got[0]["last_word"], got[0]["n_words"]) == (0, 3, 6)
     assert got[2]["labels"] == "apache-2.0,gpl-3.0-only,mit" and got[2]["verdict"] == "permissive" and got[2]["base_labels"] == ""
-    assert got[3]["score"] == 0 and got[3]["first_word"] is None and got[6]["expressions"] == ""
+    assert got[3]["score"] == 0 and got[3]["first_word"] is None and (got[6]["expressions"], got[6]["verdict"]) == ("nonsense", "unknown")
     assert license_scan.scan_licenses(docs(spark, [])).count() == 0
 
 
 @pytest.mark.parametrize(
     "text, postfix, worst",
-    [("mit or gpl-2.0 and isc", "mit gpl-2.0 isc and or", 0), ("(mit or gpl-2.0) and mpl-2.0", "mit gpl-2.0 or mpl-2.0 and", 1), ("gpl-2.0 with classpath-exception-2.0", "gpl-2.0 classpath-exception-2.0 with", 1), ("mit and more", "mit", 0)],
+    [
+        ("mit or gpl-2.0 and isc", "mit gpl-2.0 isc and or", 0),
+        ("(mit or gpl-2.0) and mpl-2.0", "mit gpl-2.0 or mpl-2.0 and", 1),
+        ("gpl-2.0 with classpath-exception-2.0", "gpl-2.0 classpath-exception-2.0 with", 1),
+        ("cc-by-sa-4.0 with classpath-exception-2.0", "cc-by-sa-4.0 classpath-exception-2.0 with", 2),
+        ("mit and sspl-1.0", "mit sspl-1.0 and", 4),
+        ("mit and gpl-1.0", "mit gpl-1.0 and", 2),
+        ("mit and (isc or bsd-4-clause) */", "mit isc bsd-4-clause or and", 0),
+        ("artistic-2.0 or mit", "artistic-2.0 mit or", 0),
+        ("(mit and sspl-1.0)", "mit sspl-1.0 and", 4),
+        ("mit and beerware", "mit beerware and", 5),
+        ("mit or beerware then", "mit beerware or", 0),
+        ("agpl-3.0-or-later and mit)", "agpl-3.0-or-later mit and", 3),
+        ("licenseref-acme.", "licenseref-acme", 4),
+    ],
 )
 def test_expressions(text, postfix, worst):
     found = license_scan.parse_expression(text)
     assert " ".join(found) == postfix and license_scan.evaluate(found) == worst
 
 
-def test_bad_expressions():
-    assert license_scan.parse_expression("(mit") is None and license_scan.parse_expression("or mit") is None and license_scan.parse_expression("") is None
+@pytest.mark.parametrize("text", ["(mit", "or mit", "", "mit and", "mit and ?", "(mit or isc", "(mit or isc) with x", "mit or or isc", "()"])
+def test_broken_expressions(text):
+    """None is cut short: what stands before the break may be freer than the whole."""
+    assert license_scan.parse_expression(text) is None
+    assert license_scan.scan(f"SPDX-License-Identifier: {text}")[-2:] == ("unresolved", "unknown")
+
+
+def test_expressions_against_python():
+    """Random expressions mean what Python's own `and` and `or` mean: the same precedence, sides picked by class."""
+    r = random.Random(3)
+    ids = ["mit", "mpl-2.0", "gpl-3.0", "agpl-3.0", "sspl-1.0", "foo-1.0"]
+
+    class Rank(int):
+        def __and__(self, other):
+            return Rank(max(self, other))
+
+        def __or__(self, other):
+            return Rank(min(self, other))
+
+    def some(depth):
+        if depth == 0 or r.random() < 0.3:
+            k = r.randrange(6)
+            return ids[k], f"Rank({k})"
+        (a, x), (b, y) = some(depth - 1), some(depth - 1)
+        op, sign = r.choice([("and", "&"), ("or", "|")])
+        return (f"{a} {op} {b}", f"{x} {sign} {y}") if r.random() < 0.5 else (f"({a} {op} {b})", f"({x} {sign} {y})")
+
+    for _ in range(500):
+        text, python = some(4)
+        assert license_scan.evaluate(license_scan.parse_expression(text)) == eval(python, {"Rank": Rank}), text
+
+
+def test_base_phrases_of_long_texts(spark):
+    """By hand, over whole texts: places in words, overlaps, and texts of a million characters."""
+    r = random.Random(9)
+    words = ["cc", "by", "General", "public", "LICENSE", "all", "rights", "reserved", "é", "x1"]
+    texts = [r.choice([" ", "-", "\n", "\x7f"]).join(r.choices(words, k=r.randint(0, 400))) for _ in range(60)] + ["cc by " * 150_000, " " * 1_000_000, None]
+    got = by_id(license_scan.scan_licenses(docs(spark, texts)))
+    for i, t in enumerate(texts):
+        own = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        places = [k for k in range(len(own)) for p in license_scan.BASE if own[k : k + len(p.split())] == p.split()]
+        x = got[i]
+        assert (x["n_words"], x["n_base"], x["first_word"], x["last_word"]) == (len(own), len(places), min(places, default=None), max(places, default=None))
 
 
 # 2
@@ -90,26 +151,31 @@ def brute_counts(text):
 
 
 def test_quality(spark):
-    texts = [*noise(40), *ODD[:7], None, "a b c " * 200, "w# $ |<>& * % " * 20]
-    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(10)], "doc_id long, quality int, toxic int")
+    r = random.Random(12)
+    texts = [*(" ".join(f"w{r.randint(0, 200)}" for _ in range(r.randint(40, 120))) for _ in range(35)), *noise(5), *ODD[:7], None, "a b c " * 200, "w# $ |<>& * % " * 20, "word and " * 60_000]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(30)] + [(31, 1, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
     rows = by_id(quality_rules.judge_documents(docs(spark, texts), labels))
     for i, t in enumerate(texts):
         r, want = rows[i], brute_counts(t)
         assert tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == want, repr(t)
-        assert r["base_failed"] == (want[0] < 50 or 100 * want[4] > 50 * want[0]) and (r["kept"] == (not r["base_failed"] and r["score"] >= quality_rules.MIN_SCORE))
-    # the score, from scratch
-    import math
-
+        assert r["base_failed"] == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+    # the score and the threshold, from scratch
+    hashed = lambda *w: functools.reduce(lambda h, x: xxhash.xxh64_intdigest(x.encode(), seed=h), w, 42)
+    bucket = lambda *w: (hashed(*w) - (1 << 64) * (hashed(*w) >> 63)) % quality_rules.BUCKETS
+    long = lambda i: xxhash.xxh64_intdigest(i.to_bytes(8, "little"), seed=hashed("held"))
+    held = {i for i in range(1, 30, 2) if (long(i) - (1 << 64) * (long(i) >> 63)) % quality_rules.HOLD_OUT == 0}
     grams = {}
     for i, t in enumerate(texts):
-        words = [w[-3:] for w in (t or "").translate({c: " " for c in range(9, 14)}).split(" ") if w]
-        twice = lambda a, b: xxhash.xxh64_intdigest(b.encode(), seed=xxhash.xxh64_intdigest(a.encode(), seed=42))
-        signed = [twice(w, words[k - 1] if k else "") for k, w in enumerate(words)]
-        grams[i] = [(x - (1 << 64) if x >> 63 else x) % quality_rules.BUCKETS for x in signed]
-    raw, good = Counter(k for g in grams.values() for k in g), Counter(k for i in range(1, 10, 2) for k in grams[i])
+        words = [w for w in (t or "").translate({c: " " for c in range(9, 14)}).split(" ") if w]
+        grams[i] = [bucket(w) for w in words] + [bucket(w, words[k - 1] if k else "") for k, w in enumerate(words)]
+    raw, good = Counter(k for g in grams.values() for k in g), Counter(k for i in range(1, 30, 2) if i not in held for k in grams[i])
     ratio = lambda k: math.log((good[k] + 1) / (sum(good.values()) + quality_rules.BUCKETS)) - math.log((raw[k] + 1) / (sum(raw.values()) + quality_rules.BUCKETS))
     for i, g in grams.items():
         assert rows[i]["score"] == pytest.approx(sum(map(ratio, g)) / len(g) if g else 0.0, abs=1e-9)
+    scores = sorted(rows[i]["score"] for i in held if not rows[i]["base_failed"])
+    at = (len(scores) - 1) * quality_rules.LOST_PERCENT / 100
+    least = scores[int(at)] + (at % 1) * (scores[min(int(at) + 1, len(scores) - 1)] - scores[int(at)])
+    assert len(scores) > 1 and all(r["kept"] == (not r["base_failed"] and r["score"] >= least - 1e-12) for r in rows.values())
     kept = quality_rules.keep_good(docs(spark, texts), labels)
     assert {r["doc_id"] for r in kept.collect()} == {i for i, r in rows.items() if r["kept"]} and kept.columns == docs(spark, []).columns
     assert quality_rules.judge_documents(docs(spark, []), labels).count() == 0
@@ -201,35 +267,91 @@ def test_mixing(spark):
 
 
 # 7 and 8
-def brute_removed(texts, cut):
-    """Units that stay, by document; documents in order of ids."""
-    seen, kept = set(), {}
-    for i, t in enumerate(texts):
-        units, runs = cut(t or "")
-        gone, own = set(), set()
-        for h, a, b in runs:
-            if h in seen or h in own:
-                gone |= set(range(a, b + 1))
-            own.add(h)
-        seen |= own
-        kept[i] = len(units) - len(gone), [t[a:b] for k, (a, b) in enumerate(units) if k not in gone]
-    return kept
-
-
-@pytest.mark.parametrize("run, cut", [(line_dedup.dedup_lines, line_dedup.cut_lines), (span_dedup.dedup_spans, span_dedup.cut_sentences)])
+def brute_lines(text):
+    """Lines with the blank ones behind them, and windows of three."""
+    out = []
+    for line in text.split("\n"):
+        if line.strip(" \t\x0b\x0c\r"):
+            out.append([line])
+        elif out:
+            out[-1].append(line)
+    own = [x[0].strip(" \t\x0b\x0c\r") for x in out]
+    return own, {(i, i + 3) for i in range(len(own) - 2)}
+
+
+def brute_sentences(text):
+    """Sentences, long ones cut before the greatest word of any 16, and all runs by their definition."""
+    units, sentence = [], []
+    for line in text.split("\n"):
+        words, current = line.split(), []
+        for k, w in enumerate(words):
+            current.append(w)
+            if w[-1] in ".!?" or k == len(words) - 1:
+                greatest = {max(range(i, i + 16), key=lambda j: (current[j], j)) for i in range(len(current) - 15)}
+                cuts = sorted({0, len(current)} | greatest)
+                sentence.append(len(units))
+                units += [current[x:y] for x, y in zip(cuts, cuts[1:])]
+                current = []
+    ends = [*sentence[1:], len(units)]
+    runs = {(sentence[i], ends[i + 2]) for i in range(len(sentence) - 2)}
+    size = lambda a, b: sum(map(len, units[a:b]))
+    for a in range(len(units)):
+        for b in range(a + 2, len(units) + 1):
+            if size(a, b) >= 16 and (b - a == 2 or size(a, b - 1) < 16 or size(a + 1, b) < 16):
+                runs.add((a, b))
+    return [" ".join(u) for u in units], runs
+
+
+def brute_removed(rows, cut):
+    """Units left and number of units removed, in the order of places: ids, null last, then hashes of texts."""
+    signed = lambda t: int.from_bytes(xxhash.xxh64_digest((t or "").encode(), seed=42), "big", signed=True) if t is not None else 42
+    first, out = {}, {}
+    order = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, signed(r[1])))
+    for r in order:
+        units, runs = cut(r[1] or "")
+        for a, b in sorted(runs):
+            first.setdefault(tuple(units[a:b]), (r, a))
+    for r in order:
+        units, runs = cut(r[1] or "")
+        gone = {k for a, b in runs if first[tuple(units[a:b])] != (r, a) for k in range(a, b)}
+        out[r] = [u for k, u in enumerate(units) if k not in gone], len(gone)
+    return out
+
+
+@pytest.mark.parametrize("run, cut", [(line_dedup.dedup_lines, brute_lines), (span_dedup.dedup_spans, brute_sentences)])
 def test_dedup(spark, run, cut):
     r = random.Random(4)
-    line = [f"line {k} has some words of its own." for k in range(12)]
-    texts = ["\n".join(r.choices(line, k=r.randint(0, 15))) for _ in range(30)] + ["\n\n\n", None, "x" * 5000]
-    rows = by_id(run(docs(spark, texts)))
-    for i, (n, units) in brute_removed(texts, cut).items():
-        assert rows[i]["n_units"] - rows[i]["n_removed"] == n
-        assert [x for x in (rows[i]["text"] or "").split("\n") if x] == [x for u in units for x in u.split("\n") if x]
-    assert rows[31]["text"] is None and run(docs(spark, [])).count() == 0
-    same = run(docs(spark, ["\n".join(line)] * 3, [2, 2, None])).collect()
+    line = [f"line {k} has some words of its own." for k in range(12)] + ["Short.", "No. Yes!", " ".join(f"w{r.randint(0, 99)}" for _ in range(70))]
+    texts = [r.choice(["\n", "\n\n \n"]).join(r.choices(line, k=r.randint(0, 15))) for _ in range(40)] + ["\n\n\n", None, "", "x" * 5000]
+    rows = [(i if i % 5 else None if i % 2 else 7, t) for i, t in enumerate(texts)] + [(3, texts[3])] * 2
+    df = docs(spark, [t for _, t in rows], [i for i, _ in rows])
+    want, got = brute_removed(rows, cut), run(df).collect()
+    left = Counter((x["doc_id"], None if x["text"] is None else tuple(cut(x["text"])[0]) if cut is brute_lines else x["text"].split().__repr__(), x["n_removed"]) for x in got)
+    form = lambda r: None if r[1] is None else tuple(want[r][0]) if cut is brute_lines else " ".join(want[r][0]).split().__repr__()
+    assert left == Counter((r[0], form(r), want[r][1]) for r in rows) and sum(n for _, n in want.values()) > 10
+    assert run(docs(spark, [])).count() == 0
+    same = run(docs(spark, ["\n".join(line[:12])] * 3, [2, 2, None])).collect()
     assert sorted((x["doc_id"] or 9, x["n_removed"]) for x in same) == [(2, 0), (2, 0), (9, 12)]
 
 
+@pytest.mark.parametrize("run", [line_dedup.dedup_lines, span_dedup.dedup_spans])
+def test_many_rows_without_an_id(spark, run):
+    """A hundred thousand null ids, all sharing a passage: one place keeps it, and no group is gathered."""
+    text = F.concat(F.lit("The first line here.\nThe second line here.\nThe third line here.\n"), F.col("id").cast("string"))
+    df = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), text.alias("text"))
+    got = run(df).groupBy("n_removed").count().collect()
+    assert {r["n_removed"]: r["count"] for r in got} == {0: 1, 3: 99_999}
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", " \n", "!", "\t.", "a "])
+def test_cutters_take_linear_time(blank):
+    text = blank * (1_000_000 // len(blank))
+    for cut in (line_dedup.cut_lines, span_dedup.cut_sentences):
+        began = time.process_time()
+        cut(text)
+        assert time.process_time() - began < 20
+
+
 def test_spans_without_sentence_ends():
     """Passages of 50 words are found in texts of one sentence, between other words, and in whole copies of one sentence."""
     r = random.Random(8)
@@ -270,9 +392,28 @@ def test_token_counts(spark):
 
 
 # 10
+def brute_digest(data):
+    """Triplets counted one by one; quarters of all buckets by sorted counts."""
+    shuffled = np.random.RandomState(7).permutation(1 << 15) % 128
+    counts = [0] * 128
+    for a, b, c in zip(data, data[1:], data[2:]):
+        t = (a * 0x9E3779B1 + b * 0x85EBCA6B + c * 0xC2B2AE35) % (1 << 32)
+        counts[shuffled[((t ^ (t >> 13)) * 0x27D4EB2F) % (1 << 32) >> 17]] += 1
+    q = [sorted(counts)[k] for k in (31, 63, 95)]
+    codes = [sum(c > x for x in q) for c in counts]
+    head = [min(255, round(math.log(len(data), 1.1))) if data else 0, *(16 * x // q[2] if q[2] else 0 for x in q[:2])]
+    return head, codes, bytes(head) + bytes(sum(codes[k + j] << (6 - 2 * j) for j in range(4)) for k in range(0, 128, 4))
+
+
+def brute_likeness(a, b):
+    (x, p, _), (y, q, _) = a, b
+    far = sum(w * max(0, abs(x[k] - y[k]) - 1) for k, w in enumerate((1, 2, 2))) + sum(abs(i - j) for i, j in zip(p, q))
+    return 1 - min(160, far) / 160
+
+
 def test_fingerprints(spark):
     r = random.Random(5)
-    texts = [*noise(30, 6), "", None, "é", "same text here " * 9, "same text here " * 9]
+    texts = [*noise(30, 6), "", None, "é", "same text here " * 9, "same text here " * 9, "long " * 40_000]
     ids = r.sample(range(10_000), len(texts))
     rows = by_id(fingerprint.fingerprint_documents(docs(spark, texts, ids)))
     order = sorted(zip(ids, texts))
@@ -281,14 +422,57 @@ def test_fingerprints(spark):
         edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
         x = rows[i]
         assert (x["n_chars"], x["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        a, b = fingerprint.digest(t.encode()), fingerprint.digest(edited.encode())
-        assert (x["fingerprint"], x["edited_fingerprint"], x["near_edited"]) == (a.hex(), b.hex(), fingerprint.likeness(a, b))
-        assert x["near_next"] == fingerprint.likeness(a, fingerprint.digest(after.encode())) and 0 <= x["near_next"] <= 1
+        a, b, c = (brute_digest(y.encode()) for y in (t, edited, after))
+        assert (x["fingerprint"], x["edited_fingerprint"]) == (a[2].hex(), b[2].hex())
+        assert (x["near_edited"], x["near_next"]) == pytest.approx((brute_likeness(a, b), brute_likeness(a, c))) and 0 <= x["near_next"] <= 1
     assert fingerprint.fingerprint_documents(docs(spark, [])).count() == 0
     assert fingerprint.fingerprint_documents(docs(spark, ["abcd"])).first()["edited_sha256"] == hashlib.sha256(b"abab").hexdigest()
     assert fingerprint.fingerprint_documents(docs(spark, ["ab", "ab", "cd"], [None, 3, 3])).count() == 3
 
 
+def test_fingerprints_of_many_rows_with_one_id_or_none(spark):
+    """Null ids and one id hold a third each: they fill several ranges, and each row is followed by the next by hash."""
+    key = F.when(F.col("id") % 3 == 0, F.col("id")).when(F.col("id") % 3 == 1, F.lit(5))
+    df = spark.range(6000).select(key.alias("doc_id"), F.concat(F.lit("text "), F.md5(F.col("id").cast("string"))).alias("text"))
+    rows = df.withColumn("h", F.xxhash64("text")).collect()
+    order = sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["h"]))
+    want = Counter()
+    for a, b in zip(order, order[1:] + order[:1]):
+        half = len(a["text"]) // 2
+        want[a["doc_id"], hashlib.sha256((a["text"][: len(a["text"]) - half] + b["text"][:half]).encode()).hexdigest()] += 1
+    got = fingerprint.fingerprint_documents(df)
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in got.collect()) == want
+    dealt = fingerprint.ranged(df.withColumn("text_hash", F.xxhash64("text")), 30).groupBy("range").count().collect()
+    assert max(r["count"] for r in dealt) < 600
+
+
+def test_names_cannot_clash(spark):
+    """Columns with the names that operators use inside stay as they are."""
+    names = ["__s", "__id", "__text", "__words", "row", "place", "s", "whole", "gone_id", "_id", "_spans", "copies"]
+    df = spark.createDataFrame([(1, "a b c d", "x", 7, *names), (2, "a b c d", None, 7, *names)], "doc_id long, text string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    kept = [minhash.keep_one_of_each(df), line_dedup.dedup_lines_keeping_columns(df), mixing.mixed_documents(df), quality_rules.keep_good(df, labels)]
+    assert [x.columns for x in kept] == [df.columns] * 4 and [x.count() for x in kept] == [1, 2, 2, 0]
+    assert all(tuple(r)[4:] == tuple(names) for x in kept for r in x.collect())
+
+
+def test_memos_hold_a_bounded_number_of_bytes():
+    made = []
+    m = memo.Memo(lambda k: made.append(k) or k * 2, 100_000)
+    for k in range(20_000):
+        assert m[f"key {k}"] == f"key {k}" * 2 and m["often"] == "often" * 2
+    assert len(m) + len(m.old) < 500 and made.count("often") == 1
+    assert m["x" * 1000] == "x" * 2000 and "x" * 1000 not in m
+
+
+def test_mixed_documents_repeats_the_rows_that_mix_takes(spark):
+    r = random.Random(6)
+    rows = [(i, " ".join(["w"] * r.randint(1, 30)), r.choice("aabbbbc")) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = {i: x["taken"] // x["size"] for i, x in by_id(mixing.mix(df)).items()}
+    assert Counter(x["doc_id"] for x in mixing.mixed_documents(df).collect()) == Counter({i: n for i, n in taken.items() if n})
+
+
 def test_near_duplicates_of_a_crowd_cut_into_blocks(spark, monkeypatch):
     """Texts just above and just below the similarity, more than a block holds: as by comparing all pairs."""
     monkeypatch.setattr(minhash, "BLOCK", 7)

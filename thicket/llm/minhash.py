@@ -318,6 +318,7 @@ def keep_one_of_each(df: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     rows, component = _components(docs, size, percent)
     # a row goes if its set belongs to a component with a smaller id; rows of one id may have several texts
     leaves = rows.join(component, "set_key").filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = leaves.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"), F.lit(True).alias("__gone")).distinct()
-    joined = df.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__text")), "left")
-    return joined.filter(F.col("__gone").isNull()).select(*df.columns)
+    gone = leaves.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_text")).distinct()
+    whole = df.select(F.struct(*(df[c] for c in df.columns)).alias("row"))  # names of further columns cannot clash
+    same = F.col("row")["doc_id"].cast("long").eqNullSafe(F.col("gone_id")) & (F.xxhash64(F.col("row")["text"]) == F.col("gone_text"))
+    return whole.join(gone, same, "left_anti").select(*(F.col("row")[c].alias(c) for c in df.columns))

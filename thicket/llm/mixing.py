@@ -116,10 +116,13 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 
 
 def mixed_documents(df: DataFrame) -> DataFrame:
-    """The mix itself: each row of `df` (with doc_id, text, source) as often as `mix` takes it, with all its columns."""
+    """The mix itself: each row of `df` (with doc_id, text, source) as often as `mix` takes it, with all its columns, whatever their names.
+
+    Null and empty texts are taken as their places fall, and add nothing.  Null sources, repeated ids and null ids as in
+    `mix`; an empty table gives none.
+    """
     plan = _thresholds(_measured(df, "doc_id", "text", "source"))
-    names = {c: f"__{c}" for c in plan.columns}
-    joined = df.join(plan.withColumnsRenamed(names), F.col("source").eqNullSafe(F.col("__s")))
-    again = F.col("__whole") + (F.shiftright(place_of(F.col("doc_id")), HASH_BITS - BITS * LEVELS) < F.col("__threshold")).cast("long")
-    copies = joined.withColumn("__copies", again).filter("__copies > 0")
-    return copies.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*df.columns)
+    rows = df.select(F.struct(*(df[c] for c in df.columns)).alias("row"), place_of(F.col("doc_id")).alias("place"))
+    copies = rows.join(plan, F.col("row")["source"].eqNullSafe(F.col("s"))).withColumn("copies", _copies()).filter("copies > 0")
+    again = copies.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return again.select(*(F.col("row")[c].alias(c) for c in df.columns))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import byte_bpe, fingerprint, license_scan, line_dedup, minhash, mixing, quality_rules, span_dedup, token_counts, warc_zstd
 from .oracles import ORACLES
@@ -30,7 +31,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_bpe.encode_and_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN, keep_memos=True)
+    return byte_bpe.encode_and_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN)
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,11 +58,37 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op1, which SQL can express."""
+    return op1_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op3, which SQL can express."""
+    return op3_quality_rules(spark, sf_dir).drop("kept", "score")
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sizes and targets of op6, which SQL can express."""
+    return op6_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
+def fingerprint_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edited texts of op10, which SQL can express."""
+    return op10_fingerprint(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def decoded_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op4 decodes and op9 measures, which SQL can express."""
+    sizes = op9_token_counts(spark, sf_dir).select("doc_id", "n_bytes")
+    return sizes.join(op4_byte_bpe(spark, sf_dir).select("doc_id", "decoded_sha256"), "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_warc_zstd, op3_quality_rules, op4_byte_bpe, op5_minhash, op6_mixing, op7_line_dedup, op8_span_dedup,
-        op9_token_counts, op10_fingerprint,
+        op9_token_counts, op10_fingerprint, license_base, quality_base, mix_targets, fingerprint_edits, decoded_bytes,
     )
 }
 
