@@ -32,7 +32,7 @@ def dedup_lines(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id", tex
     Lines are cut at newlines; blank ones are passed over.  Every window is compared with those of all documents.  Its
     first place keeps it: that of the smallest doc_id, then the first in the text.  In all others, the lines it covers go
     with all up to the next line, those of overlapping windows once.  Returns (doc_id, text, n_removed) for each row: the
-    text left, the lines removed.
+    text left, the number of characters that went.
 
     Null text stays null; texts of fewer than three lines stay as they are.  A null id comes last.  Rows that share an id,
     or have none, come in order of the hash of their texts; those alike in both count as one place, so repeated rows all

@@ -65,10 +65,9 @@ w AS (SELECT doc_id, k, own || chr(10) || lead(own, 1) OVER o || chr(10) || lead
 f AS (SELECT doc_id, k, row_number() OVER (PARTITION BY g ORDER BY doc_id, k) AS r FROM w WHERE g IS NOT NULL),
 gone AS (SELECT DISTINCT doc_id, k + o AS k FROM f, (VALUES (0), (1), (2)) AS s(o) WHERE r > 1),
 z AS (SELECT y.doc_id, y.i, y.line, max(u.k) OVER (PARTITION BY y.doc_id ORDER BY y.i) AS k FROM y LEFT JOIN u USING (doc_id, i)),
-n AS (SELECT z.doc_id, string_agg(z.line, chr(10) ORDER BY z.i) FILTER (WHERE gone.k IS NULL) AS text FROM z LEFT JOIN gone USING (doc_id, k) GROUP BY z.doc_id),
-c AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
-SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(n.text, '') END AS text, coalesce(c.n, 0) AS n_removed
-FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+n AS (SELECT z.doc_id, string_agg(z.line, chr(10) ORDER BY z.i) FILTER (WHERE gone.k IS NULL) AS text FROM z LEFT JOIN gone USING (doc_id, k) GROUP BY z.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(n.text, '') END AS text, CASE WHEN d.text IS NOT NULL THEN length(d.text) - length(coalesce(n.text, '')) ELSE 0 END AS n_removed
+FROM documents d LEFT JOIN n USING (doc_id)
 """
 
 _EDITED = """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import partial
+from itertools import accumulate
 
 import xxhash
 from pyspark.sql import DataFrame
@@ -73,8 +74,9 @@ def _pieces(words: list[str], text: str, start: int) -> tuple[list[tuple[int, in
 def cut_sentences(text: str, sentences: int = SENTENCES, piece_words: int = PIECE_WORDS) -> tuple[list[tuple[int, int]], list[tuple[bytes, int, int]]]:
     """Units, and every run to compare.
 
-    Units are sentences, long ones in pieces.  Runs: every `sentences` consecutive sentences, whatever their length; and
-    from each unit forwards and backwards the shortest run of two units or more with `piece_words` words.  Where a run
+    Units are sentences, long ones in pieces.  Runs: from each unit forwards and backwards the shortest run of two units or
+    more with `piece_words` words; and every `sentences` consecutive sentences with fewer words, however short.  Those
+    with more are covered by the others: the first of their units forwards and the last backwards.  Where a run
     begins and ends hangs on its own words alone, so copies of a passage have the same runs; those that end with the
     passage's last unit or begin with its first are among them.  A passage of three times `piece_words` words, cut
     out of whatever sentences, has a run.
@@ -92,7 +94,9 @@ def cut_sentences(text: str, sentences: int = SENTENCES, piece_words: int = PIEC
         sizes += map(len, own)
     n = len(units)
     ends = [*whole[1:], n]
-    spans = {(whole[i], ends[i + sentences - 1] - 1) for i in range(len(whole) - sentences + 1)}
+    upto = [0, *accumulate(sizes)]
+    windows = ((whole[i], ends[i + sentences - 1]) for i in range(len(whole) - sentences + 1))
+    spans = {(a, b - 1) for a, b in windows if upto[b] - upto[a] < piece_words or b - a == 1}
     first = total = 0  # the run from `first` to i: the shortest long enough that ends at i
     for i in range(n):
         total += sizes[i]
@@ -118,8 +122,8 @@ def dedup_spans(df: DataFrame, sentences: int = SENTENCES, piece_words: int = PI
     Every run of three sentences, however short, and every shortest run of two or more units with 16 words, is compared
     with those of all documents; words count, white space does not.  A run's first place keeps it:
     that of the smallest doc_id, then the first in the text.  In all others the units it covers go, with the white space
-    behind them, those of overlapping runs once.  Returns (doc_id, text, n_removed) for each row: the text left, the units
-    removed.  Up to 15 words at an end of a copy that lies inside a long sentence may stay.
+    behind them, those of overlapping runs once.  Returns (doc_id, text, n_removed) for each row: the text left, the number
+    of characters that went.  Up to 15 words at an end of a copy that lies inside a long sentence may stay.
 
     Null text stays null; texts without a run stay as they are.  A null id comes last.  Rows that share an id, or have none,
     come in order of the hash of their texts; those alike in both count as one place, so repeated rows all keep what is
