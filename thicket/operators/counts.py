@@ -39,15 +39,15 @@ def recompute(counts: DataFrame, order: int) -> DataFrame:
     return prefix.groupBy(*KEY).agg(F.sum("cnt").alias("cnt"))
 
 
-def test_counts(counts: DataFrame, order: int) -> DataFrame:
+def test_counts(counts: DataFrame, order: int, begin: str | int = BEGIN) -> DataFrame:
     """The top order, and of lower ones down to 2 those that begin a sentence: each word of a text is predicted once."""
-    return counts.filter((F.col("ord") == order) | ((F.col("ord") > 1) & (F.get("ctx", F.size("ctx") - 1) == BEGIN)))
+    return counts.filter((F.col("ord") == order) | ((F.col("ord") > 1) & (F.get("ctx", F.size("ctx") - 1) == begin)))
 
 
-def continuation(counts: DataFrame, order: int) -> DataFrame:
+def continuation(counts: DataFrame, order: int, begin: str | int = BEGIN) -> DataFrame:
     """Kneser-Ney counts: the top order raw, below it the number of distinct words before; n-grams from <s> stay raw."""
     top = counts.filter(F.col("ord") == order)
-    starts = counts.filter((F.col("ord") < order) & ((F.col("ord") > 1) & (F.get("ctx", F.size("ctx") - 1) == BEGIN)))
+    starts = counts.filter((F.col("ord") < order) & ((F.col("ord") > 1) & (F.get("ctx", F.size("ctx") - 1) == begin)))
     above = counts.filter((F.col("ord") > 1) & (F.col("ord") <= order))
     shorter = above.select((F.col("ord") - 1).alias("ord"), F.expr("slice(ctx, 1, ord - 2)").alias("ctx"), "w0")
     followed = shorter.groupBy(*KEY).agg(F.count(F.lit(1)).alias("cnt"))

@@ -6,14 +6,19 @@ among the child's.  Paths are strings of 0 and 1 from the root, so a node's ance
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import uniform32
 from ..sources.tables import written
 from .smoothing import Discount
-from .split import draw_positions, elements, search
+from .split import ATTEMPTS, elements, search
 
 EDGES = "tree_id int, parent string, child string, pos int, word long"
+#: Levels after which what has grown, or how far rows have come, is written out.
+FOLD = 8
 
 
 def prefixes(path: str) -> Column:
@@ -36,37 +41,86 @@ def route(rows: DataFrame, splits: DataFrame) -> DataFrame:
     return at.join(splits.select("tree_id", "path", "elem", "side"), ["tree_id", "path", "elem"]).withColumn("path", F.concat("path", F.col("side").cast("string"))).drop("elem", "side")
 
 
-def grow(train: DataFrame, trees: int, order: int, seed: int, mode: str = "both", alpha: float = 0.5, heldout: DataFrame | None = None, max_depth: int = 30, max_nodes: int | None = None) -> DataFrame:
+def drawn_positions(nodes: DataFrame, seed: int, positions: int, mode: str, alpha: float) -> DataFrame:
+    """(tree_id, path, pos): the positions to try at each node: all, or each by a coin, drawn anew until there is one."""
+    every = F.array(*map(F.lit, range(positions)))
+    if mode in ("none", "random-init"):
+        return nodes.select("tree_id", "path", F.explode(every).alias("pos"))
+    coin = lambda p, a: uniform32(seed, F.col("tree_id"), F.col("path"), p, a) < F.lit(int(alpha * 2**32))
+    draws = F.transform(F.sequence(F.lit(0), F.lit(ATTEMPTS - 1)), lambda a: F.filter(every, lambda p: coin(p, a)))
+    first = F.get(F.filter(draws, lambda x: F.size(x) > 0), F.lit(0))
+    return nodes.select("tree_id", "path", F.explode(F.coalesce(first, every)).alias("pos"))
+
+
+def held_statistics(histogram: DataFrame, held: DataFrame, d: Discount) -> DataFrame:
+    """(tree_id, path, logl, heldout_sum): base-10 log-likelihood of the held-out n-grams that reach a node, and their number.
+
+    `held` has (tree_id, path, w0, cnt, p_short); a node's probabilities are its own counts' (`histogram`), discounted and
+    interpolated with p_short, the back-off model's for the shortened context.  N-grams of probability 0 add nothing.
+    """
+    own = histogram.withColumnRenamed("cnt", "node_cnt")
+    both = held.join(leaf_stats(histogram), ["tree_id", "path"]).join(own, ["tree_id", "path", "w0"], "left")
+    p = d.mass(F.coalesce("node_cnt", F.lit(0)), F.col("total"), F.col("types")) + d.rest(*map(F.col, ("total", "types", "min2", "min3"))) * F.col("p_short")
+    logl = F.coalesce(F.sum(F.col("cnt") * F.log10(F.when(p > 0, p))), F.lit(0.0))
+    return both.groupBy("tree_id", "path").agg(logl.alias("logl"), F.sum("cnt").alias("heldout_sum"))
+
+
+def grow(train: DataFrame, trees: int, order: int, seed: int, mode: str = "both", alpha: float = 0.5, heldout: DataFrame | None = None, max_depth: int | None = None, max_nodes: int | None = None) -> DataFrame:
     """EDGES of a forest, from (ctx, w0, cnt) in word ids: all trees and all nodes of a level in the same jobs.
 
-    With `heldout`, nodes that no held-out n-gram reaches are not split.  With `max_nodes`, each tree tries so many nodes
-    at most, breadth first, then by path (shallow growth); the others stay leaves.  Positions are drawn from the node's path, on
-    the driver for the level's nodes; each level is written to the shared folder.
+    Trees grow until no node splits.  With `heldout`, nodes that no held-out n-gram reaches are not split.  With
+    `max_nodes`, each tree tries so many nodes at most, breadth first, then by path (shallow growth); the others stay leaves.
+    Past `max_depth` levels, a node that still splits is an error: nothing is left unsplit in silence.  Each level is
+    written to the shared folder.
     """
+    return _levels(train, trees, order, seed, mode, alpha, heldout, max_depth, max_nodes, None)[0]
+
+
+def grow_measured(train: DataFrame, heldout: DataFrame, trees: int, order: int, seed: int, d: Discount, mode: str = "both", alpha: float = 0.5, max_depth: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """EDGES as `grow` has them, and (tree_id, path, is_leaf, logl, heldout_sum) of every node.
+
+    `heldout` has p_short beside (ctx, w0, cnt).  Held-out n-grams go down the tree with the training n-grams, so each level
+    gives its nodes' statistics before it splits; a node that none reaches has 0 for both and is not split.
+    """
+    edges, measured = _levels(train, trees, order, seed, mode, alpha, heldout, max_depth, None, d)
+    roots = train.sparkSession.range(trees).select(F.col("id").cast("int").alias("tree_id"), F.lit("").alias("path"))
+    inner = edges.select("tree_id", F.col("parent").alias("path")).distinct().withColumn("inner", F.lit(True))
+    every = roots.unionByName(edges.select("tree_id", F.col("child").alias("path")).distinct())
+    full = every.join(inner, ["tree_id", "path"], "left").join(measured, ["tree_id", "path"], "left")
+    return edges, full.select("tree_id", "path", F.col("inner").isNull().alias("is_leaf"), F.coalesce("logl", F.lit(0.0)).alias("logl"), F.coalesce("heldout_sum", F.lit(0)).alias("heldout_sum"))
+
+
+def _levels(train: DataFrame, trees: int, order: int, seed: int, mode: str, alpha: float, heldout: DataFrame | None, max_depth: int | None, max_nodes: int | None, d: Discount | None) -> tuple[DataFrame, DataFrame | None]:
     if order < 2 or not 0 < alpha <= 1:
         raise ValueError("needs an order of 2 at least and alpha in (0, 1]")
     spark: SparkSession = train.sparkSession
     ids = spark.range(trees).select(F.col("id").cast("int").alias("tree_id"), F.lit("").alias("path"))
     here = train.select("ctx", "w0", "cnt").join(F.broadcast(ids))
-    held = heldout.select("ctx", "w0", "cnt").join(F.broadcast(ids)) if heldout is not None else None
-    draw = F.udf(lambda tree, path: draw_positions(seed, tree, path, order - 1, mode, alpha), "array<int>")
-    edges = used = None
-    for _ in range(max_depth):
+    held = heldout.join(F.broadcast(ids)) if heldout is not None else None
+    edges, measured, used = spark.createDataFrame([], EDGES), None, None
+    for depth in count():
         if held is not None:
-            here = here.join(held.select("tree_id", "path").distinct(), ["tree_id", "path"], "left_semi")
+            reached = held.select("tree_id", "path").distinct()
+            if d is not None:
+                level = written(held_statistics(here.groupBy("tree_id", "path", "w0").agg(F.sum("cnt").alias("cnt")), held, d))
+                measured = level if measured is None else measured.unionByName(level)
+                reached = level.select("tree_id", "path")
+            here = here.join(reached, ["tree_id", "path"], "left_semi")
         if max_nodes is not None:
             tried, used = _within_budget(here.select("tree_id", "path").distinct(), used, max_nodes)
             here = here.join(tried, ["tree_id", "path"], "left_semi")
-        drawn = here.select("tree_id", "path").distinct().withColumn("pos", F.explode(draw("tree_id", "path")))
+        drawn = drawn_positions(here.select("tree_id", "path").distinct(), seed, order - 1, mode, alpha)
         elems = elements(here, range(order - 1)).join(drawn, ["tree_id", "path", "pos"])
         splits = written(best_splits(search(elems, seed, mode)))
         if splits.isEmpty():
-            break
-        level = splits.select("tree_id", F.col("path").alias("parent"), F.concat("path", F.col("side").cast("string")).alias("child"), "pos", F.col("elem").alias("word"))
-        edges = level if edges is None else edges.unionByName(level)
+            return edges, measured
+        if depth == max_depth:
+            raise ValueError(f"nodes still split below {max_depth} levels")
+        edges = edges.unionByName(splits.select("tree_id", F.col("path").alias("parent"), F.concat("path", F.col("side").cast("string")).alias("child"), "pos", F.col("elem").alias("word")))
+        if depth % FOLD == FOLD - 1:  # keep the plan of a deep tree short
+            edges, measured = written(edges), None if measured is None else written(measured)
         here = written(route(here, splits))
         held = None if held is None else written(route(held, splits))
-    return edges if edges is not None else spark.createDataFrame([], EDGES)
 
 
 def _within_budget(nodes: DataFrame, used: DataFrame | None, most: int) -> tuple[DataFrame, DataFrame]:
@@ -79,11 +133,16 @@ def _within_budget(nodes: DataFrame, used: DataFrame | None, most: int) -> tuple
 
 
 def classify(rows: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    """`rows` (with tree_id, ctx) with `path` and `found`: down to a leaf, or to where no child has the word."""
+    """`rows` (with tree_id, ctx) with `path` and `found`: down to a leaf, or to where no child has the word.
+
+    Deep trees are walked in parts of FOLD levels, each written out, so that the plan stays short.
+    """
     inner = edges.select("tree_id", F.col("parent").alias("path"), "pos").distinct()
     steps = edges.select("tree_id", F.col("parent").alias("path"), F.col("word").alias("__w"), F.col("child").alias("__child"))
     df = rows.withColumn("path", F.lit("")).withColumn("found", F.lit(True))
-    for _ in range(depth):
+    for level in range(depth):
+        if level and level % FOLD == 0:
+            df = written(df)
         df = df.join(inner, ["tree_id", "path"], "left").withColumn("__w", F.when(F.col("found"), F.get("ctx", F.col("pos"))))
         df = df.join(steps, ["tree_id", "path", "__w"], "left")
         df = df.withColumn("found", F.col("found") & (F.col("pos").isNull() | F.col("__child").isNotNull())).withColumn("path", F.coalesce("__child", "path")).drop("pos", "__w", "__child")

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .counts import context_stats, continuation, counts_of_counts
+from .counts import context_stats, continuation, counts_of_counts, min_counts
 
 #: D1, D2, D3+ where counts of counts are degenerate.
 FALLBACK = (0.5, 0.75, 0.9)
@@ -19,6 +19,7 @@ class Discount:
 
     method: str = "absolute"
     d: tuple[float, float, float] = FALLBACK
+    fallback: bool = False
 
     def mass(self, cnt: Column, total: Column, types: Column) -> Column:
         """What a word of this count gets before interpolation; 0 for no count."""
@@ -42,12 +43,17 @@ def discount_columns(coc: DataFrame) -> DataFrame:
     return coc.select("*", F.when((F.col("n1") > 0) & (F.col("n2") > 0), y).alias("y"), *(part(k).alias(f"d{k}") for k in (1, 2, 3)))
 
 
-def estimate(counts: DataFrame, method: str = "modified") -> dict[int, Discount]:
-    """A discount for each order; the table that is collected has a row an order.  'modified', 'original', 'witten-bell'."""
+def estimate(counts: DataFrame, method: str = "modified", least: dict[int, int] | None = None) -> dict[int, Discount]:
+    """A discount for each order; the table that is collected has a row an order.  'modified', 'original', 'witten-bell'.
+
+    `least` has the least count of an order that takes part.  Where a count of counts that a discount divides by is 0, all
+    three are FALLBACK and the discount says so (`fallback`).
+    """
     out = {}
-    for r in discount_columns(counts_of_counts(counts)).collect():
+    for r in discount_columns(counts_of_counts(min_counts(counts, least or {}))).collect():
         d = (r["y"],) * 3 if method == "original" else (r["d1"], r["d2"], r["d3"])
-        out[r["ord"]] = Discount("witten-bell") if method == "witten-bell" else Discount(d=FALLBACK if None in d else d)
+        absolute = Discount(d=FALLBACK, fallback=True) if None in d else Discount(d=d)
+        out[r["ord"]] = Discount("witten-bell") if method == "witten-bell" else absolute
     return out
 
 
@@ -80,12 +86,15 @@ class BackoffModel:
         return df.withColumnRenamed("__p", out)
 
 
-def train(counts: DataFrame, order: int, method: str = "modified", non_events: tuple[str, ...] = ("<s>",)) -> BackoffModel:
-    """Interpolated model of raw counts; Kneser-Ney methods count continuations below the top order."""
+def train(counts: DataFrame, order: int, method: str = "modified", non_events: tuple[str | int, ...] = ("<s>",), discounts: dict[int, Discount] | None = None) -> BackoffModel:
+    """Interpolated model of raw counts; Kneser-Ney methods count continuations below the top order.
+
+    The first of `non_events` begins a sentence.  `discounts`, as read from a file, replace the estimated ones.
+    """
     events = counts.filter((F.col("ord") <= order) & ~F.col("w0").isin(*non_events))
-    used = events if method == "witten-bell" else continuation(events, order)
+    used = events if method == "witten-bell" else continuation(events, order, non_events[0])
     n_words = counts.filter((F.col("ord") == 1) & ~F.col("w0").isin(*non_events)).count()
-    return BackoffModel(order, used, context_stats(used), n_words, estimate(used, method))
+    return BackoffModel(order, used, context_stats(used), n_words, discounts or estimate(used, method))
 
 
 def backoff_weights(probs: DataFrame, lower: str = "p_low", own: str = "p") -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterable
 
 import numpy as np
@@ -50,16 +49,6 @@ def _uniform32(*parts: object) -> int:
     return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16)
 
 
-def draw_positions(seed: int, tree: int, path: str, n: int, mode: str, alpha: float) -> list[int]:
-    """Positions to try at a node: all, or each by a coin, drawn anew until there is one."""
-    if mode in ("none", "random-init"):
-        return list(range(n))
-    for attempt in range(ATTEMPTS):
-        if kept := [p for p in range(n) if _uniform32(seed, tree, path, p, attempt) < int(alpha * 2**32)]:
-            return kept
-    return list(range(n))
-
-
 def initial_side(seed: int, tree: int, path: str, pos: int, elems: list[int], mode: str) -> dict[int, int]:
     """Side of each element: by parity of its id, or by a fair coin, drawn anew until both sides have one."""
     if mode in ("none", "random-select"):
@@ -71,45 +60,44 @@ def initial_side(seed: int, tree: int, path: str, pos: int, elems: list[int], mo
     return {e: e % 2 for e in elems}
 
 
-def _xl(x: float) -> float:
-    return x * math.log(x) if x > 0 else 0.0
+def _xl(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1))
 
 
-def exchange(histogram: dict[int, dict[int, int]], side: dict[int, int]) -> tuple[dict[int, int], float]:
-    """Best sides that single moves reach, and the gain over no split.
+def exchange(elem: np.ndarray, word: np.ndarray, cnt: np.ndarray, side: dict[int, int]) -> tuple[dict[int, int], float]:
+    """Best sides that single moves reach, and the gain over no split, from (element, word, count), each pair once.
 
     Sweeps go from one side to the other and back, over ids ascending, until neither moves anything; a move counts at once.
+    Counts of a side are one array over the words; a move looks at the moved element's words alone.
     """
-    side = dict(side)
-    words: list[dict[int, int]] = [{}, {}]
-    sums = [0, 0]
-    for e, own in histogram.items():
-        for w, c in own.items():
-            words[side[e]][w] = words[side[e]].get(w, 0) + c
-            sums[side[e]] += c
+    by = np.argsort(elem, kind="stable")
+    ids, starts = np.unique(elem[by], return_index=True)
+    words, w = np.unique(word[by], return_inverse=True)
+    c = cnt[by].astype(np.int64)
+    cut = [slice(a, b) for a, b in zip(starts, [*starts[1:], len(c)])]
+    size = np.add.reduceat(c, starts)
+    at = np.array([side[int(e)] for e in ids])
+    held = np.zeros((2, len(words)), np.int64)
+    np.add.at(held, (np.repeat(at, [s.stop - s.start for s in cut]), w), c)
+    sums = held.sum(axis=1)
     moved = True
     while moved:
         moved = False
         for source in (0, 1):
-            f, t = words[source], words[1 - source]
-            for e in sorted(x for x in histogram if side[x] == source):
-                own = histogram[e]
-                y = sum(own.values())
-                delta = sum(_xl(f[w] - c) - _xl(f[w]) + _xl(t.get(w, 0) + c) - _xl(t.get(w, 0)) for w, c in own.items())
-                delta += _xl(sums[source]) - _xl(sums[source] - y) + _xl(sums[1 - source]) - _xl(sums[1 - source] + y)
-                if delta > LEAST_MOVE:
-                    for w, c in own.items():
-                        f[w] -= c
-                        t[w] = t.get(w, 0) + c
-                    sums[source] -= y
-                    sums[1 - source] += y
-                    side[e], moved = 1 - source, True
-    whole: dict[int, int] = {}
-    for own in histogram.values():
-        for w, c in own.items():
-            whole[w] = whole.get(w, 0) + c
-    gain = sum(_xl(c) for half in words for c in half.values()) - _xl(sums[0]) - _xl(sums[1])
-    return side, gain - sum(map(_xl, whole.values())) + _xl(sum(whole.values()))
+            f, t = held[source], held[1 - source]
+            for k in np.nonzero(at == source)[0]:
+                own, n, y = w[cut[k]], c[cut[k]], size[k]
+                fo, to = f[own], t[own]
+                delta = float((_xl(fo - n) - _xl(fo) + _xl(to + n) - _xl(to)).sum())
+                before, after = np.array([sums[source], sums[1 - source]]), np.array([sums[source] - y, sums[1 - source] + y])
+                if delta + float((_xl(before) - _xl(after)).sum()) > LEAST_MOVE:
+                    f[own] -= n
+                    t[own] += n
+                    sums += np.where(np.arange(2) == source, -y, y)
+                    at[k], moved = 1 - source, True
+    whole = held.sum(axis=0)
+    gain = float(_xl(held).sum() - _xl(sums).sum() - _xl(whole).sum() + _xl(whole.sum()))
+    return dict(zip(ids.tolist(), at.tolist())), gain
 
 
 def search(elems: DataFrame, seed: int, mode: str) -> DataFrame:
@@ -118,20 +106,14 @@ def search(elems: DataFrame, seed: int, mode: str) -> DataFrame:
     A group holds the distinct (elem, w0) pairs of one node and position, which the squared vocabulary bounds, not the corpus.
     """
 
-    def frame(ids: list[int], side: dict[int, int], gain: float, tree: int, path: str, pos: int) -> pd.DataFrame:
-        n = len(ids)
-        ints = {"tree_id": np.full(n, tree), "pos": np.full(n, pos), "elem": np.array(ids, "int64"), "side": np.array([side[e] for e in ids], "int64")}
-        return pd.DataFrame(ints | {"path": pd.Series([path] * n, dtype=object), "gain": np.full(n, float(gain))})[["tree_id", "path", "pos", "elem", "side", "gain"]]
-
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         tree, path, pos = key
-        histogram: dict[int, dict[int, int]] = {}
-        for e, w, c in zip(group["elem"], group["w0"], group["cnt"]):
-            histogram.setdefault(int(e), {})[int(w)] = int(c)
-        if len(histogram) < 2:
-            return frame([], {}, 0.0, tree, path, pos)
-        ids = sorted(histogram)
-        side, gain = exchange({e: histogram[e] for e in ids}, initial_side(seed, tree, path, pos, ids, mode))
-        return frame(ids, side, gain, tree, path, pos)
+        ids = sorted(map(int, group["elem"].unique()))
+        side, gain = {}, 0.0
+        if len(ids) > 1:
+            side, gain = exchange(*(group[c].to_numpy() for c in ("elem", "w0", "cnt")), initial_side(seed, tree, path, pos, ids, mode))
+        n = len(side)
+        ints = {"tree_id": np.full(n, tree), "pos": np.full(n, pos), "elem": np.array(list(side), "int64"), "side": np.array(list(side.values()), "int64")}
+        return pd.DataFrame(ints | {"path": pd.Series([path] * n, dtype=object), "gain": np.full(n, gain)})[["tree_id", "path", "pos", "elem", "side", "gain"]]
 
     return elems.groupBy("tree_id", "path", "pos").applyInPandas(run, "tree_id int, path string, pos int, elem long, side int, gain double")

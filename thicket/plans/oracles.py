@@ -146,3 +146,87 @@ ORACLE_SQL = {
     "rescore_ngrams": f"{_WB} SELECT ord, h1, h2, w0, round(log10(p), 4) AS logp FROM tri",
     "skip_weights": f"{_WB} SELECT tri.h1 AS word, round(sum(cnt * coalesce(b.p, p_uni) / (coalesce(b.p, p_uni) + tri.p)) / sum(cnt), 6) AS weight FROM tri LEFT JOIN b ON b.h1 = tri.h2 AND b.w0 = tri.w0 GROUP BY tri.h1",
 }
+
+# Sentences in parts by hash, all n-grams in word ids, the parity tree, and Witten-Bell probabilities of the training part.
+_LIFE = """
+WITH seq AS (SELECT user_id, list(event_type ORDER BY ts, event_id) AS e FROM events GROUP BY user_id),
+words AS (SELECT list_concat(list_concat(['<s>'], e), ['</s>']) AS x FROM seq),
+ids AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) AS wid FROM (SELECT word, count(*) AS n FROM (SELECT unnest(x) AS word FROM words) GROUP BY word)),
+parts AS (SELECT x, ('0x' || substr(md5('7|' || array_to_string(x, ' ')), 1, 8))::BIGINT % 10 AS part FROM words),
+pos AS (SELECT CASE WHEN part = 9 THEN 'test' WHEN part >= 7 THEN 'held' ELSE 'train' END AS kind, x, unnest(range(1, len(x) + 1)) AS i FROM parts),
+named AS (SELECT kind, k AS ord, x[i] AS w0, CASE WHEN k > 1 THEN x[i - 1] END AS h1, CASE WHEN k > 2 THEN x[i - 2] END AS h2 FROM pos, (VALUES (1), (2), (3)) t(k) WHERE i >= k),
+c AS (SELECT kind, ord, a.wid AS w0, b.wid AS h1, y.wid AS h2, count(*) AS cnt FROM named JOIN ids a ON a.word = w0 LEFT JOIN ids b ON b.word = h1 LEFT JOIN ids y ON y.word = h2
+      WHERE w0 <> '<s>' GROUP BY ALL),
+bos AS (SELECT wid FROM ids WHERE word = '<s>'),
+e AS (SELECT * FROM c WHERE kind = 'train'),
+n1 AS (SELECT sum(cnt) AS t, count(*) AS n FROM e WHERE ord = 1),
+u AS (SELECT wid AS w0, (coalesce(cnt, 0) + n1.n * (1.0 / n1.n)) / (n1.t + n1.n) AS p FROM ids CROSS JOIN n1 LEFT JOIN e ON e.ord = 1 AND e.w0 = wid),
+s2 AS (SELECT h1, sum(cnt) AS t, count(*) AS n FROM e WHERE ord = 2 GROUP BY h1),
+b AS (SELECT i.wid AS h1, u.w0, CASE WHEN s2.t IS NULL THEN u.p ELSE (coalesce(e.cnt, 0) + s2.n * u.p) / (s2.t + s2.n) END AS p
+      FROM ids i CROSS JOIN u LEFT JOIN s2 ON s2.h1 = i.wid LEFT JOIN e ON e.ord = 2 AND e.h1 = i.wid AND e.w0 = u.w0),
+s3 AS (SELECT h1, h2, sum(cnt) AS t, count(*) AS n FROM e WHERE ord = 3 GROUP BY ALL),
+tri AS (SELECT g.*, b.p AS p_short, CASE WHEN s3.t IS NULL THEN b.p ELSE (coalesce(e.cnt, 0) + s3.n * b.p) / (s3.t + s3.n) END AS p_full
+        FROM (SELECT * FROM c WHERE ord = 3) g JOIN b ON b.h1 = g.h1 AND b.w0 = g.w0 LEFT JOIN s3 ON s3.h1 = g.h1 AND s3.h2 = g.h2
+        LEFT JOIN e ON e.ord = 3 AND e.h1 = g.h1 AND e.h2 = g.h2 AND e.w0 = g.w0),
+q1 AS (SELECT DISTINCT h1 AS word, (h1 % 2)::VARCHAR AS child FROM e WHERE ord = 3),
+q2 AS (SELECT DISTINCT (h1 % 2)::VARCHAR AS parent, h2 AS word, (h1 % 2)::VARCHAR || ((h2 // 2) % 2)::VARCHAR AS child FROM e WHERE ord = 3),
+nodes AS (SELECT '' AS path, false AS is_leaf UNION SELECT child, false FROM q1 UNION SELECT child, true FROM q2),
+walk AS (SELECT tri.*, q1.child AS n1, q2.child AS n2 FROM tri LEFT JOIN q1 ON q1.word = h1 LEFT JOIN q2 ON q2.parent = q1.child AND q2.word = h2),
+through AS (SELECT kind, '' AS path, w0, cnt, p_short FROM walk UNION ALL SELECT kind, n1, w0, cnt, p_short FROM walk WHERE n1 IS NOT NULL
+            UNION ALL SELECT kind, n2, w0, cnt, p_short FROM walk WHERE n2 IS NOT NULL),
+hist AS (SELECT path, w0, sum(cnt) AS cnt FROM through WHERE kind = 'train' GROUP BY ALL),
+stats AS (SELECT path, sum(cnt) AS total, 0.5 * count(*) FILTER (cnt = 1) + 0.75 * count(*) FILTER (cnt = 2) + 0.9 * count(*) FILTER (cnt > 2) AS off FROM hist GROUP BY path),
+held AS (SELECT t.path, sum(t.cnt * log10((coalesce(h.cnt - CASE h.cnt WHEN 1 THEN 0.5 WHEN 2 THEN 0.75 ELSE 0.9 END, 0) + s.off * t.p_short) / s.total)) AS logl, sum(t.cnt)::BIGINT AS n
+         FROM through t JOIN stats s USING (path) LEFT JOIN hist h ON h.path = t.path AND h.w0 = t.w0 WHERE kind = 'held' GROUP BY t.path),
+full_nodes AS (SELECT nodes.path, is_leaf, coalesce(logl, 0.0) AS logl, coalesce(n, 0) AS heldout_sum FROM nodes LEFT JOIN held USING (path)),
+below AS (SELECT a.path, CASE WHEN sum(l.heldout_sum) = 0 THEN 0.0 ELSE sum(l.logl) / sum(l.heldout_sum) END AS m FROM full_nodes a JOIN full_nodes l ON l.is_leaf AND starts_with(l.path, a.path) GROUP BY a.path),
+pot AS (SELECT path, is_leaf, CASE WHEN is_leaf THEN 0.0 ELSE m - CASE WHEN heldout_sum = 0 THEN 0.0 ELSE logl / heldout_sum END END AS potential FROM full_nodes JOIN below USING (path)),
+kept AS (SELECT path, is_leaf OR potential <= 0 AS is_leaf, potential FROM pot p WHERE NOT EXISTS (SELECT 1 FROM pot a WHERE NOT a.is_leaf AND a.potential <= 0 AND a.path <> p.path AND starts_with(p.path, a.path))),
+ended AS (SELECT walk.*, CASE WHEN '' IN (SELECT path FROM kept WHERE is_leaf) THEN '' WHEN n1 IS NULL THEN NULL WHEN n1 IN (SELECT path FROM kept WHERE is_leaf) THEN n1 ELSE n2 END AS leaf FROM walk),
+fill AS (SELECT leaf, w0, sum(cnt) AS cnt FROM ended WHERE kind <> 'test' AND leaf IS NOT NULL GROUP BY ALL),
+filled AS (SELECT leaf, sum(cnt) AS total, 0.5 * count(*) FILTER (cnt = 1) + 0.75 * count(*) FILTER (cnt = 2) + 0.9 * count(*) FILTER (cnt > 2) AS off FROM fill GROUP BY leaf),
+scored AS (SELECT 3 AS ord, x.h1, x.h2, x.w0, x.cnt, CASE WHEN x.leaf IS NULL THEN 'unseen_history' WHEN f.cnt IS NULL THEN 'unseen_seen' ELSE 'seen' END AS provenance,
+           CASE WHEN x.leaf IS NULL THEN p_full ELSE (coalesce(f.cnt - CASE f.cnt WHEN 1 THEN 0.5 WHEN 2 THEN 0.75 ELSE 0.9 END, 0) + s.off * p_short) / s.total END AS prob
+           FROM ended x LEFT JOIN filled s ON s.leaf = x.leaf LEFT JOIN fill f ON f.leaf = x.leaf AND f.w0 = x.w0 WHERE kind = 'test'
+           UNION ALL SELECT 2, c.h1, NULL, c.w0, cnt, 'lower_order', b.p FROM c JOIN b ON b.h1 = c.h1 AND b.w0 = c.w0 WHERE kind = 'test' AND ord = 2 AND c.h1 IN (SELECT wid FROM bos))
+"""
+
+# The scores are by the tree that a lower threshold leaves.
+_SCORED = _LIFE.replace("potential <= 0", "potential <= -0.001")
+
+ORACLE_SQL |= {
+    "tree_file_round_trip": f"{_LIFE} SELECT '' AS parent, child, 0 AS pos, word FROM q1 UNION ALL SELECT parent, child, 1, word FROM q2",
+    "heldout_node_loglikelihood": f"{_LIFE} SELECT path, is_leaf, round(logl, 5) AS logl, heldout_sum FROM full_nodes",
+    "heldout_pruning": f"{_LIFE} SELECT path, is_leaf, round(potential, 6) AS potential FROM kept",
+    "lifecycle_scores": f"{_SCORED} SELECT ord, h1, h2, w0, cnt, provenance, round(prob, 8) AS prob FROM scored",
+    "lifecycle_perplexity": f"{_SCORED}, z AS (SELECT round(pow(10, -sum(cnt * log10(prob)) / sum(cnt)), 5) AS ppl FROM scored) SELECT '0' AS model, ppl FROM z UNION ALL SELECT 'forest', ppl FROM z",
+    "lm_export": f"{_SCORED} SELECT ord, h1, h2, w0, round(log10(prob), 6) AS logp FROM scored WHERE ord = 3",
+    "discount_files": f"""{_DOCS}, k2 AS (SELECT 3 AS ord, cnt FROM c WHERE ord = 3 AND w0 <> '<s>'
+        UNION ALL SELECT 2, cnt FROM c WHERE ord = 2 AND h1 = '<s>' AND w0 <> '<s>'
+        UNION ALL SELECT 2, n FROM (SELECT count(DISTINCT h2) AS n FROM c WHERE ord = 3 AND w0 <> '<s>' AND h1 <> '<s>' GROUP BY h1, w0)
+        UNION ALL SELECT 1, n FROM (SELECT count(DISTINCT h1) AS n FROM c WHERE ord = 2 AND w0 <> '<s>' GROUP BY w0)),
+        k AS (SELECT ord, count(*) FILTER (cnt = 1) AS n1, count(*) FILTER (cnt = 2) AS n2, count(*) FILTER (cnt = 3) AS n3, count(*) FILTER (cnt = 4) AS n4 FROM k2 GROUP BY ord)
+        SELECT ord, 1 AS mincount, round(greatest(0, least(1, 1 - 2 * y * n2 / n1)), 6) AS d1, round(greatest(0, least(2, 2 - 3 * y * n3 / n2)), 6) AS d2, round(greatest(0, least(3, 3 - 4 * y * n4 / n3)), 6) AS d3
+        FROM (SELECT *, n1 / (n1 + 2 * n2) AS y FROM k WHERE n1 > 0 AND n2 > 0 AND n3 > 0)""",
+}
+
+_PROBS = """WITH p AS (SELECT event_type, count(*) / sum(count(*)) OVER () AS p1 FROM events GROUP BY event_type),
+x AS (SELECT event_id, user_id, ts, event_type, p1, 0.2 AS p2, CASE WHEN event_type = 'view' THEN 0.6 ELSE 0.1 END AS p3 FROM events JOIN p USING (event_type))"""
+
+ORACLE_SQL |= {
+    "ngram_dump": f"""{_WB} SELECT rank() OVER (ORDER BY cnt DESC, g) AS line_no, g || chr(9) || printf('%.6f', p) AS value FROM (SELECT concat_ws(' ', h2, h1, w0) AS g, cnt, p FROM tri)""",
+    "cache_interpolated": f"""{_PROBS}, y AS (SELECT *, list(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS l FROM x)
+        SELECT event_id, round(0.9 * p1 + 0.1 * CASE WHEN len(l) > 0 THEN len(list_filter(l, lambda e: e = event_type)) / len(l) ELSE 0 END, 6) AS prob FROM y""",
+    "bayes_mix_of_three": f"""{_PROBS}, y AS (SELECT *, 0.5 * exp(0.5 * coalesce(sum(ln(p1)) OVER w, 0)) AS a, 0.3 * exp(0.5 * coalesce(sum(ln(p2)) OVER w, 0)) AS b, 0.2 * exp(0.5 * coalesce(sum(ln(p3)) OVER w, 0)) AS c
+        FROM x WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING))
+        SELECT event_id, round((a * p1 + b * p2 + c * p3) / (a + b + c), 6) AS prob FROM y""",
+    "static_interpolation": f"{_WB} SELECT ord, h1, h2, w0, round(0.7 * p + 0.3 * p_uni, 6) AS prob FROM tri",
+    "rescored_hypotheses": """WITH s AS (SELECT p_brand, p_partkey, list_concat(list_concat(['<s>'], string_split(p_name, ' ')), ['</s>']) AS w FROM part),
+        g AS (SELECT p_brand, p_partkey, w[i] AS w0, w[i - 1] AS h1, len(w) - 2 AS n FROM (SELECT *, unnest(range(2, len(w) + 1)) AS i FROM s)),
+        u AS (SELECT w0, (count(*) + 1.0) / (SELECT count(*) + count(DISTINCT w0) FROM g) AS p FROM g GROUP BY w0),
+        b AS (SELECT h1, w0, count(*) AS cnt FROM g GROUP BY ALL),
+        t AS (SELECT h1, sum(cnt) AS t, count(*) AS n FROM b GROUP BY h1),
+        q AS (SELECT h1, w0, (cnt + t.n * u.p) / (t.t + t.n) AS p FROM b JOIN t USING (h1) JOIN u USING (w0)),
+        z AS (SELECT p_brand, p_partkey, 0.5 * any_value(g.n) + sum(log10(q.p)) AS total FROM g JOIN q USING (h1, w0) GROUP BY ALL)
+        SELECT p_brand AS sent_id, p_partkey AS hyp_id, round(total, 6) AS total FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r FROM z) WHERE r <= 10""",
+}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import uniform32
@@ -12,6 +12,7 @@ from ..operators import counts as C
 from ..operators import discounts as K
 from ..operators import evaluate as E
 from ..operators import forest as T
+from ..operators import lifecycle as L
 from ..operators import models as M
 from ..operators import smoothing as S
 from ..operators import split
@@ -61,18 +62,10 @@ def _flat(df: DataFrame, *more: str | Column) -> DataFrame:
     return df.select("ord", F.get("ctx", F.lit(0)).alias("h1"), F.get("ctx", F.lit(1)).alias("h2"), *more)
 
 
-def _ids(sentences: DataFrame) -> DataFrame:
-    """(word, wid) over all words with the markers."""
-    from pyspark.sql import Window
-
-    n = sentences.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return n.select("word", F.row_number().over(Window.orderBy(F.col("n").desc(), "word")).cast("long").alias("wid"))
-
-
 def _encoded(spark: SparkSession, d: str) -> DataFrame:
     """Trigrams (ctx, w0, cnt) of the events in word ids."""
     sentences = _sentences(spark, d)
-    ids = written(_ids(sentences))
+    ids = written(corpus.word_ids(sentences))
     top = C.ngram_counts(sentences, ORDER).filter(F.col("ord") == ORDER)
     named = top.select(F.get("ctx", F.lit(0)).alias("a"), F.get("ctx", F.lit(1)).alias("b"), F.col("w0").alias("c"), "cnt")
     for k in "abc":
@@ -303,8 +296,6 @@ def _nodes(spark: SparkSession, d: str) -> DataFrame:
     rows, edges = _classified(spark, d)
     passing = rows.select("tree_id", F.explode(T.prefixes("path")).alias("path"), "w0", "cnt", "found")
     hist = passing.groupBy("tree_id", "path", "w0").agg(F.sum("cnt").alias("cnt"))
-    from pyspark.sql import Window
-
     share = F.col("cnt") / F.sum("cnt").over(Window.partitionBy("tree_id", "path"))
     sums = hist.withColumn("l", F.col("cnt") * F.log10(share)).groupBy("tree_id", "path").agg(F.sum("l").alias("logl"), F.sum("cnt").alias("heldout_sum"))
     return T.node_paths(edges).join(sums, ["tree_id", "path"])
@@ -332,8 +323,9 @@ def tree_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def tree_file_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    lines = formats.tree_lines(spark.createDataFrame(TREE, T.EDGES)).collect()
-    return formats.read_tree(spark, "\n".join(r["value"] for r in lines)).select("parent", "child", "pos", "word")
+    """The tree by parity of the events' word ids, to text and back: every node's line is read by itself."""
+    lines = formats.tree_lines(_life(spark, d)[2])
+    return formats.tree_paths(lines).select("parent", "child", "pos", "word")
 
 
 @query
@@ -526,3 +518,152 @@ def skip_weights(spark: SparkSession, d: str) -> DataFrame:
     kept = S.train(counts, ORDER, "witten-bell").prob(grams, "p_keep")
     older = kept.select(F.get("ctx", F.lit(0)).alias("word"), F.slice("ctx", 2, 1).alias("ctx"), "w0", "cnt", "p_keep")
     return M.skip_step(S.train(counts, 2, "witten-bell").prob(older, "p_skip")).select("word", F.round("weight", 6).alias("weight"))
+
+
+#: Of ten parts of the events' sentences, those that are held out, and those that test.
+HELD_PARTS, TEST_PARTS = (7, 8), (9,)
+#: Held-out gain up to which a subtree goes before it scores: below 0, for the events have no structure that a tree could gain by.
+PRUNE = -0.001
+
+
+def _apart(spark: SparkSession, d: str) -> tuple[dict[str, DataFrame], int]:
+    """Counts in word ids of the sentences for training, held out and for testing; and the id of the begin mark."""
+    sentences = corpus.parted(_sentences(spark, d), SEED)
+    ids = written(corpus.word_ids(sentences))
+    part = F.col("part")
+    where = {"train": ~part.isin(*HELD_PARTS, *TEST_PARTS), "held": part.isin(*HELD_PARTS), "test": part.isin(*TEST_PARTS)}
+    counts = {k: written(corpus.coded(C.ngram_counts(sentences.filter(v).select("words"), ORDER), ids)) for k, v in where.items()}
+    return counts, ids.filter(F.col("word") == corpus.BEGIN).first()["wid"]
+
+
+def _top(counts: DataFrame, begin: int) -> DataFrame:
+    return counts.filter((F.col("ord") == ORDER) & (F.col("w0") != begin)).select("ctx", "w0", "cnt")
+
+
+def _parity_tree(top: DataFrame) -> DataFrame:
+    """A tree whose root asks for the newest word's id modulo 2, and whose children ask the same of half the older one's."""
+    side = (F.get("ctx", F.lit(0)) % 2).cast("string")
+    below = F.concat(side, (F.floor(F.get("ctx", F.lit(1)) / 2) % 2).cast("string"))
+    first = top.select(F.lit(0).alias("tree_id"), F.lit("").alias("parent"), side.alias("child"), F.lit(0).alias("pos"), F.get("ctx", F.lit(0)).alias("word"))
+    second = top.select(F.lit(0).alias("tree_id"), side.alias("parent"), below.alias("child"), F.lit(1).alias("pos"), F.get("ctx", F.lit(1)).alias("word"))
+    return first.unionByName(second).distinct()
+
+
+def _life(spark: SparkSession, d: str) -> tuple[dict[str, DataFrame], int, DataFrame, S.BackoffModel]:
+    """Counts apart, the begin mark, the parity tree of the training counts, and a Witten-Bell model of them."""
+    counts, begin = _apart(spark, d)
+    return counts, begin, written(_parity_tree(_top(counts["train"], begin))), S.train(counts["train"], ORDER, "witten-bell", (begin,))
+
+
+def _life_nodes(counts: dict[str, DataFrame], begin: int, edges: DataFrame, model: S.BackoffModel) -> DataFrame:
+    held = written(L.backed_off(_top(counts["held"], begin), model, ORDER))
+    return written(L.measure(edges, _top(counts["train"], begin), held, S.Discount()))
+
+
+@query
+def heldout_node_loglikelihood(spark: SparkSession, d: str) -> DataFrame:
+    """Held-out log-likelihood of every node under its own discounted counts and the back-off model; text apart from training."""
+    return _life_nodes(*_life(spark, d)).select("path", "is_leaf", F.round("logl", 5).alias("logl"), "heldout_sum")
+
+
+@query
+def heldout_pruning(spark: SparkSession, d: str) -> DataFrame:
+    counts, begin, edges, model = _life(spark, d)
+    return L.pruned(edges, _life_nodes(counts, begin, edges, model))[1].select("path", "is_leaf", F.round("potential", 6).alias("potential"))
+
+
+def _life_scores(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, DataFrame], int, S.BackoffModel]:
+    """Test n-grams scored by the pruned parity tree, its leaves filled with training and held-out counts."""
+    counts, begin, edges, model = _life(spark, d)
+    kept = written(L.pruned(edges, _life_nodes(counts, begin, edges, model), PRUNE)[0])
+    test = L.backed_off(L.scorable(counts["test"], ORDER, begin), model, ORDER)
+    filling = C.merge(counts["train"], counts["held"])
+    trees = spark.range(1).select(F.col("id").cast("int").alias("tree_id"))
+    return written(L.score(test, _top(filling, begin), kept, trees, S.Discount(), ORDER)), counts, begin, model
+
+
+@query
+def lifecycle_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(_life_scores(spark, d)[0], "w0", "cnt", "provenance", F.round("prob", 8).alias("prob"))
+
+
+@query
+def lifecycle_perplexity(spark: SparkSession, d: str) -> DataFrame:
+    return L.perplexities(_life_scores(spark, d)[0], "none").select("model", F.round("ppl", 5).alias("ppl"))
+
+
+@query
+def lm_export(spark: SparkSession, d: str) -> DataFrame:
+    """The scored test n-grams as an ARPA file, written, read back and looked up: what the forest says comes out again."""
+    scored, counts, begin, model = _life_scores(spark, d)
+    tested = written(scored.filter(F.col("ord") == ORDER))
+    whole = written(L.exported(tested, model, counts["test"], ORDER, begin, -1))
+    path = f"{whole.written_to}_arpa"
+    formats.write_lines(formats.arpa_file(whole), path)
+    back = formats.read_arpa(spark.read.text(path))
+    grams = tested.select("ord", F.expr("transform(ctx, w -> cast(w as string))").alias("ctx"), F.col("w0").cast("string").alias("w0"))
+    found = M.backoff_lookup(grams, written(back), ORDER)
+    return found.select("ord", *(F.get("ctx", F.lit(k)).cast("long").alias(f"h{k + 1}") for k in (0, 1)), F.col("w0").cast("long").alias("w0"), F.round("logp", 6).alias("logp"))
+
+
+@query
+def forest_lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    """Kneser-Ney, each grown and pruned tree, and the forest on the events' test sentences: (model, ppl)."""
+    counts, begin = _apart(spark, d)
+    model = S.train(counts["train"], ORDER, "modified", (begin,))
+    held = written(L.backed_off(_top(counts["held"], begin), model, ORDER))
+    edges, nodes = T.grow_measured(_top(counts["train"], begin), held, 5, ORDER, SEED, S.Discount())
+    kept = written(L.pruned(written(edges), written(nodes), PRUNE)[0])
+    test = written(L.backed_off(L.scorable(counts["test"], ORDER, begin), model, ORDER))
+    trees = spark.range(5).select(F.col("id").cast("int").alias("tree_id"))
+    scored = written(L.score(test, _top(C.merge(counts["train"], counts["held"]), begin), kept, trees, S.Discount(), ORDER))
+    kn = test.select(F.lit("kneser-ney").alias("model"), (F.col("cnt") * F.log10("p_full")).alias("l"), "cnt").groupBy("model").agg(F.pow(F.lit(10.0), -F.sum("l") / F.sum("cnt")).alias("ppl"))
+    return L.perplexities(scored, "none").unionByName(kn)
+
+
+@query
+def discount_files(spark: SparkSession, d: str) -> DataFrame:
+    """Modified Kneser-Ney discounts over continuation counts, of n-grams seen so often or more, written as files and read back."""
+    counts = C.continuation(C.ngram_counts(_docs(spark, d)[0], ORDER).filter(F.col("w0") != corpus.BEGIN), ORDER)
+    found = S.discount_columns(C.counts_of_counts(C.min_counts(counts, {})))
+    lines = written(formats.discount_lines(found.withColumn("mincount", F.lit(1)).filter("d1 is not null and d2 is not null and d3 is not null")))
+    return formats.read_discounts(lines).select("ord", "mincount", *(F.round(c, 6).alias(c) for c in ("d1", "d2", "d3")))
+
+
+@query
+def ngram_dump(spark: SparkSession, d: str) -> DataFrame:
+    """Probabilities of given lines, in their order: the events' trigrams, numbered by how often they occur."""
+    counts = written(_counts(spark, d))
+    top = counts.filter((F.col("ord") == ORDER) & (F.col("w0") != corpus.BEGIN)).select(F.concat_ws(" ", F.reverse("ctx"), "w0").alias("value"), "cnt")
+    lines = top.select((F.rank().over(Window.orderBy(F.col("cnt").desc(), "value"))).alias("line_no"), "value")
+    return E.dump(lines, S.train(counts, ORDER, "witten-bell"))
+
+
+@query
+def cache_interpolated(spark: SparkSession, d: str) -> DataFrame:
+    tokens = E.cache_probs(_event_probs(spark, d), 10, "user_id", ["ts", "event_id"], "event_type")
+    return E.cache_mix(tokens, 0.1, "p1").select("event_id", F.round("prob", 6).alias("prob"))
+
+
+@query
+def bayes_mix_of_three(spark: SparkSession, d: str) -> DataFrame:
+    """Three models with priors of their own."""
+    probs = _event_probs(spark, d).withColumn("p3", F.when(F.col("event_type") == "view", 0.6).otherwise(0.1))
+    found = E.bayes_mix(probs, 5, 0.5, "user_id", ["ts", "event_id"], ("p1", "p2", "p3"), (0.5, 0.3, 0.2))
+    return found.select("event_id", F.round("prob", 6).alias("prob"))
+
+
+@query
+def static_interpolation(spark: SparkSession, d: str) -> DataFrame:
+    both = E.interpolated(_two_models(spark, d), {"p1": 0.7, "p2": 0.3})
+    return _flat(both, "w0", F.round("prob", 6).alias("prob"))
+
+
+@query
+def rescored_hypotheses(spark: SparkSession, d: str) -> DataFrame:
+    """Part names as hypotheses of their brands: a bigram model of all names scores their words, and ranks the first ten of each brand."""
+    parts = _table(spark, d, "part")
+    counts = written(C.ngram_counts(corpus.text_sentences(parts, "p_name"), 2))
+    hyps = parts.select(F.col("p_brand").alias("sent_id"), F.col("p_partkey").alias("hyp_id"), F.col("p_name").alias("text"))
+    lm = E.rescore_lines(hyps, S.train(counts, 2, "witten-bell"))
+    return E.nbest(lm.withColumn("ac", F.lit(0.0)), 1.0, 0.5, 10).select("sent_id", "hyp_id", F.round("total", 6).alias("total"))
