@@ -3,22 +3,48 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_open: list[list[DataFrame]] = []
 
-def written(df: DataFrame) -> DataFrame:
-    """Write `df` to the folder in spark.checkpoint.dir and read it back: ends the lineage, survives lost executors."""
-    spark = df.sparkSession
+
+@contextmanager
+def recorded() -> Iterator[list[DataFrame]]:
+    """The tables that `written` makes inside, for `discard` once nothing reads them."""
+    made: list[DataFrame] = []
+    _open.append(made)
+    try:
+        yield made
+    finally:
+        _open.remove(made)
+
+
+#: Used only where the session names no checkpoint folder, as in tests on one machine.
+LOCAL_FALLBACK = "/tmp/checkpoints"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A fresh folder below ``spark.checkpoint.dir``; where that is unset, on one machine only, below LOCAL_FALLBACK."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        top = "/tmp/checkpoints"
-    path = f"{top.rstrip('/')}/{uuid.uuid4().hex}"
+        top = LOCAL_FALLBACK
+    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared folder and read it back: ends the lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = shared_dir(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
+    for made in _open:
+        made.append(out)
     return out
 
 
