@@ -150,34 +150,43 @@ def brute_counts(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered)
 
 
+def brute_quality(texts, good):
+    """(counts, score, base_failed, kept) of each text, by the definition; `good`: ids of trusted ones."""
+    hashed = lambda *w: functools.reduce(lambda h, x: xxhash.xxh64_intdigest(x.encode(), seed=h), w, 42)
+    signed = lambda h: h - (1 << 64) * (h >> 63)
+    bucket = lambda *w: signed(hashed(*w)) % quality_rules.BUCKETS
+    held = {i for i in good if signed(xxhash.xxh64_intdigest(i.to_bytes(8, "little"), seed=hashed("held"))) % quality_rules.HOLD_OUT == 0}
+    grams = []
+    for t in texts:
+        words = [w for w in (t or "").translate({c: " " for c in range(9, 14)}).split(" ") if w]
+        grams.append([bucket(w) for w in words] + [bucket(w, words[k - 1] if k else "") for k, w in enumerate(words)])
+    raw, target = Counter(k for g in grams for k in g), Counter(k for i in good - held for k in grams[i])
+    size = quality_rules.BUCKETS
+    ratio = lambda k: math.log((target[k] + 1) / (sum(target.values()) + size)) - math.log((raw[k] + 1) / (sum(raw.values()) + size))
+    ratios = {k: ratio(k) for k in raw}
+    counts = [brute_counts(t) for t in texts]
+    failed = [c[0] < 50 or 100 * c[4] > 50 * c[0] for c in counts]
+    scores = [math.fsum(ratios[k] for k in g) / len(g) if g else 0.0 for g in grams]
+    known = sorted(scores[i] for i in held if not failed[i])
+    at = (len(known) - 1) * quality_rules.LOST_PERCENT / 100
+    least = known[int(at)] + (at % 1) * (known[min(int(at) + 1, len(known) - 1)] - known[int(at)]) if known else -math.inf
+    return [(c, s, f, not f and s >= least - 1e-12) for c, s, f in zip(counts, scores, failed)]
+
+
 def test_quality(spark):
     r = random.Random(12)
-    texts = [*(" ".join(f"w{r.randint(0, 200)}" for _ in range(r.randint(40, 120))) for _ in range(35)), *noise(5), *ODD[:7], None, "a b c " * 200, "w# $ |<>& * % " * 20, "word and " * 60_000]
+    texts = [" ".join(f"w{r.randint(0, 200)}" for _ in range(r.randint(40, 120))) for _ in range(35)]
+    texts += [*noise(5), *ODD[:7], None, "a b c " * 200, "w# $ |<>& * % " * 20, "word and " * 60_000]
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(30)] + [(31, 1, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
     rows = by_id(quality_rules.judge_documents(docs(spark, texts), labels))
-    for i, t in enumerate(texts):
-        r, want = rows[i], brute_counts(t)
-        assert tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == want, repr(t)
-        assert r["base_failed"] == (want[0] < 50 or 100 * want[4] > 50 * want[0])
-    # the score and the threshold, from scratch
-    hashed = lambda *w: functools.reduce(lambda h, x: xxhash.xxh64_intdigest(x.encode(), seed=h), w, 42)
-    bucket = lambda *w: (hashed(*w) - (1 << 64) * (hashed(*w) >> 63)) % quality_rules.BUCKETS
-    long = lambda i: xxhash.xxh64_intdigest(i.to_bytes(8, "little"), seed=hashed("held"))
-    held = {i for i in range(1, 30, 2) if (long(i) - (1 << 64) * (long(i) >> 63)) % quality_rules.HOLD_OUT == 0}
-    grams = {}
-    for i, t in enumerate(texts):
-        words = [w for w in (t or "").translate({c: " " for c in range(9, 14)}).split(" ") if w]
-        grams[i] = [bucket(w) for w in words] + [bucket(w, words[k - 1] if k else "") for k, w in enumerate(words)]
-    raw, good = Counter(k for g in grams.values() for k in g), Counter(k for i in range(1, 30, 2) if i not in held for k in grams[i])
-    ratio = lambda k: math.log((good[k] + 1) / (sum(good.values()) + quality_rules.BUCKETS)) - math.log((raw[k] + 1) / (sum(raw.values()) + quality_rules.BUCKETS))
-    for i, g in grams.items():
-        assert rows[i]["score"] == pytest.approx(sum(map(ratio, g)) / len(g) if g else 0.0, abs=1e-9)
-    scores = sorted(rows[i]["score"] for i in held if not rows[i]["base_failed"])
-    at = (len(scores) - 1) * quality_rules.LOST_PERCENT / 100
-    least = scores[int(at)] + (at % 1) * (scores[min(int(at) + 1, len(scores) - 1)] - scores[int(at)])
-    assert len(scores) > 1 and all(r["kept"] == (not r["base_failed"] and r["score"] >= least - 1e-12) for r in rows.values())
+    want = brute_quality(texts, set(range(1, 30, 2)))
+    for i, (counts, score, failed, kept) in enumerate(want):
+        x = rows[i]
+        assert tuple(x[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == counts, repr(texts[i])
+        assert (x["score"], x["base_failed"], x["kept"]) == (pytest.approx(score, abs=1e-9), failed, kept)
+    assert 0 < sum(k for *_, k in want) < sum(not f for _, _, f, _ in want)
     kept = quality_rules.keep_good(docs(spark, texts), labels)
-    assert {r["doc_id"] for r in kept.collect()} == {i for i, r in rows.items() if r["kept"]} and kept.columns == docs(spark, []).columns
+    assert {x["doc_id"] for x in kept.collect()} == {i for i, x in rows.items() if x["kept"]} and kept.columns == docs(spark, []).columns
     assert quality_rules.judge_documents(docs(spark, []), labels).count() == 0
     assert by_id(quality_rules.judge_documents(docs(spark, texts), labels.limit(0)))[0]["score"] == 0
 

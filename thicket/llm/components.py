@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import discard, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -40,7 +40,8 @@ def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
         if after == state or after[0] == 0:
             break
         state = after
-        now = written(_small_star(_large_star(now)))
+        before, now = now, written(_small_star(_large_star(now)))
+        discard(before)
     else:
         raise RuntimeError(f"components did not settle in {most} rounds")
     found = now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")))

@@ -1,36 +1,13 @@
-"""Tables in the folder that all executors share."""
+"""Tables in the folder that all executors share, and what of them may be broadcast."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Used only where the session names no checkpoint folder, as in tests on one machine.
-LOCAL_FALLBACK = "/tmp/checkpoints"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; off a cluster, one below LOCAL_FALLBACK."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        top = LOCAL_FALLBACK
-    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Write `df` as Parquet to the shared folder and read it back.
-
-    This cuts the lineage, and what follows survives the loss of executors.
-    """
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..sources.tables import discard, recorded, shared_dir, written
 
+__all__ = ["discard", "recorded", "shared_dir", "small", "written"]
 
 #: Rows up to which `small` lets a narrow table be broadcast.
 BROADCAST_ROWS = 1_000_000
