@@ -25,14 +25,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """(node, root) for every node of `edges` (u, v): the smallest node that it reaches.
+    """(node, root) for every node of `edges` (u, v): the smallest node that it reaches; a written table.
 
-    Both steps only group by a node and join its minimum back, so a hub costs its links and no pairs of them.  Each round
-    is written to the shared folder; rounds end when the links no longer change, which takes a number of rounds in the
-    logarithm of the longest path.  Self-links and repeated links are passed over; nulls must not occur.
+    Both steps only group by a node and join its minimum back, so a hub costs its links and no pairs of them.  Each step
+    is written to the shared folder, and the one before it deleted; rounds end when the links no longer change, which takes
+    a number of rounds in the logarithm of the longest path.  Self-links and repeated links are passed over; nulls must
+    not occur.
     """
-    # an endpoint of a self-link alone is its own root
-    loops = edges.filter("u = v").select("u", "v").distinct()
     now = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None
     for _ in range(most):
@@ -40,10 +39,12 @@ def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
         if after == state or after[0] == 0:
             break
         state = after
-        before, now = now, written(_small_star(_large_star(now)))
-        discard(before)
+        for star in (_large_star, _small_star):
+            before, now = now, written(star(now))
+            discard(before)
     else:
         raise RuntimeError(f"components did not settle in {most} rounds")
     found = now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")))
-    alone = loops.select(F.col("u").alias("node"), F.col("v").alias("root")).join(found, "node", "left_anti")
-    return found.distinct().unionByName(alone)
+    # an endpoint of a self-link alone is its own root
+    loops = edges.filter("u = v").select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return written(found.unionByName(loops).groupBy("node").agg(F.min("root").alias("root")))

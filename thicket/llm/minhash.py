@@ -304,9 +304,9 @@ def _components(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, Da
     if not groups.isEmpty():
         links = links.unionByName(_links_across(groups, roots, classes, docs, size, percent))
         roots = connected_components(links.toDF("u", "v"))
-    rooted = classes.select("node", "set_key", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = written(classes.select("node", "set_key", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows.select("doc_id", "text_hash", "n_shingles", "set_key"), rooted.join(smallest, "root").select("set_key", "component_id")
+    return rows.select("doc_id", "text_hash", "n_shingles", "set_key"), written(rooted.join(smallest, "root").select("set_key", "component_id"))
 
 
 def keep_one_of_each(df: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
