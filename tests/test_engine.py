@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -19,7 +20,7 @@ DATA = "/root/testdata/sf0.001"
 
 def rows(df):
     columns = sorted(df.columns)
-    plain = lambda v: None if v is None or v != v else round(float(v), 6) if not isinstance(v, str) else v
+    plain = lambda v: None if pd.isna(v) else round(float(v), 6) if not isinstance(v, str) else v
     return sorted((tuple(plain(v) for v in r) for r in df[columns].astype(object).itertuples(index=False)), key=repr)
 
 
