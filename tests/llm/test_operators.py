@@ -16,7 +16,7 @@ import xxhash
 import zstandard
 from pyspark.sql import functions as F
 
-from thicket.llm import byte_bpe, components, fingerprint, license_scan, line_dedup, memo, minhash, mixing, quality_rules, span_dedup, token_counts, warc_zstd
+from thicket.llm import byte_bpe, components, fingerprint, license_scan, line_dedup, memo, minhash, mixing, quality_rules, span_dedup, storage, token_counts, warc_zstd
 
 RANKS, MODEL = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("piece_bpe_32k.model")
 DOCS = "doc_id long, text string, source string, n_words string, score string, h string"
@@ -243,6 +243,21 @@ def test_components(spark):
     assert got == {(x, 6) for x in (6, 7, 8, 9)} | {(x, 1) for x in (1, 2, 3, 40, 41)} | {(5, 5)}
 
 
+@pytest.mark.parametrize("rows", [0, 1_000_000])
+def test_components_of_random_links(spark, monkeypatch, rows):
+    """Against union-find: hubs at either end of the order, paths and repeated links, with minima sent out and joined by shuffle."""
+    monkeypatch.setattr(storage, "BROADCAST_ROWS", rows)
+    r = random.Random(7)
+    edges = [(0, i) for i in range(1, 60)] + [(999, i) for i in range(100, 160)] + [(i, i + 1) for i in range(200, 240)]
+    edges += [(r.randrange(300, 500), r.randrange(300, 500)) for _ in range(110)]
+    edges += edges[:20]
+    root = {x: x for e in edges for x in e}
+    for a, b in edges:
+        old, new = max(root[a], root[b]), min(root[a], root[b])
+        root = {x: new if y == old else y for x, y in root.items()}
+    assert dict(map(tuple, components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect())) == root
+
+
 # 6
 def test_mixing(spark):
     r = random.Random(2)

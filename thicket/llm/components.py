@@ -5,31 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import discard, written
+from .storage import discard, small, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Link each node's larger neighbours to the smallest of its neighbours and itself."""
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    """Link each node's larger neighbours to the smallest of its neighbours and itself; in all links u > v."""
+    up = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
+    around = edges.unionByName(up).groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("top"))
+    least = written(around.filter("top > u").select("u", F.least("u", "m").alias("m")))
+    star = written(up.join(small(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+    discard(least)
+    return star
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    """Link each node and its smaller neighbours to the smallest of them."""
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    own = least.select("u", F.col("m").alias("v"))
-    others = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return others.unionByName(own).distinct()
+    """Link each node and its smaller neighbours to the smallest of them; in all links u > v."""
+    least = written(edges.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("top")))
+    several = small(least.filter("m <> top").select("u", "m"))
+    others = edges.join(several, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    star = written(least.select("u", F.col("m").alias("v")).unionByName(others).distinct())
+    discard(least)
+    return star
 
 
 def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(node, root) for every node of `edges` (u, v): the smallest node that it reaches; a written table.
 
-    Both steps only group by a node and join its minimum back, so a hub costs its links and no pairs of them.  Each step
-    is written to the shared folder, and the one before it deleted; rounds end when the links no longer change, which takes
-    a number of rounds in the logarithm of the longest path.  Self-links and repeated links are passed over; nulls must
+    Both steps only group by a node and join its minimum back, so a hub costs its links and no pairs of them.  Minima are
+    summed before they are shuffled, written, and sent out where counted to be few, so that a hub's links stay where they
+    are; beyond, both sides of the join are plain exchanges, of which Spark can split a hub's.  Each step is written to the
+    shared folder, and the one before it deleted; rounds end when the links no longer change, which takes a number of rounds
+    in the logarithm of the longest path.  Self-links and repeated links are passed over; nulls must
     not occur.
     """
     now = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -40,7 +46,7 @@ def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
             break
         state = after
         for star in (_large_star, _small_star):
-            before, now = now, written(star(now))
+            before, now = now, star(now)
             discard(before)
     else:
         raise RuntimeError(f"components did not settle in {most} rounds")
