@@ -191,6 +191,44 @@ def test_quality(spark):
     assert by_id(quality_rules.judge_documents(docs(spark, texts), labels.limit(0)))[0]["score"] == 0
 
 
+def test_quality_is_fitted_on_all_trusted(spark):
+    r = random.Random(13)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = [" ".join(r.choices(vocabulary[: r.choice([200, 400])], k=60 if i % 8 == 0 else 3)) for i in range(25_000)]
+    good = {i for i in range(25_000) if i % 16}
+    labels = spark.createDataFrame([(i, 1, 0) for i in good], "doc_id long, quality int, toxic int")
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = by_id(quality_rules.judge_documents(frame, labels))
+    want = brute_quality(texts, good)
+    assert len(good) > 20_000 and len(rows) == len(texts)
+    assert all(abs(rows[i]["score"] - score) < 1e-9 for i, (_, score, *_) in enumerate(want))
+    assert {i for i, x in rows.items() if x["kept"]} == {i for i, (*_, kept) in enumerate(want) if kept}
+    assert 0 < sum(not f and not k for _, _, f, k in want)
+
+
+def test_quality_joins_many_trusted_by_shuffle(spark, monkeypatch):
+    texts = [*noise(60, 3), None, "eta " * 60]
+    ids = [*range(50), *range(6), *[None] * 6]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 50, 2)] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
+    judged = lambda: sorted(quality_rules.judge_documents(docs(spark, texts, ids), labels).collect(), key=repr)
+    sent_out = judged()
+    monkeypatch.setattr(storage, "BROADCAST_ROWS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert judged() == sent_out and len(sent_out) == 62
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("values", [[], [None], [0.5], [1.0, 1.0, 1.0], [0.0, 5e-324, 1.0, None], [-3.0, 1e-17, 2e-17, 3e-17, 1e9], [random.Random(5).gauss(0, 1) for _ in range(9000)]])
+@pytest.mark.parametrize("percent", [0, 1, 37.5, 100])
+def test_percentile(spark, values, percent):
+    table = storage.written(spark.createDataFrame([(v,) for v in values], "s double"))
+    known = [v for v in values if v is not None]
+    got = quality_rules.percentile(table, percent)
+    assert got == (pytest.approx(float(np.percentile(known, percent)), rel=1e-9, abs=1e-30) if known else None)
+
+
 # 4
 def test_byte_bpe(spark):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}

@@ -11,10 +11,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import discard, small, written
+
 #: Hash buckets of the multinomials: what the driver holds and sends out is so many numbers, whatever the corpus.
 BUCKETS = 1 << 14
-#: Trusted documents that the target and the threshold are fitted on, at most; of more, those with the smallest hashed ids.
-MAX_TRUSTED = 20_000
+#: Bins of a histogram that the threshold is looked up in: rows that the driver receives at once.
+BINS = 1 << 12
 #: One trusted document in so many is left out of the target and sets the threshold.
 HOLD_OUT = 5
 #: Added to each count.
@@ -70,31 +72,40 @@ def measured(df: DataFrame) -> DataFrame:
     )
 
 
-def trusted_ids(labels: DataFrame, most: int = MAX_TRUSTED) -> DataFrame:
-    """(trusted, held): ids of documents labelled good and not toxic, `most` of them at most, by hash; and which are left out.
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """(trusted, held): ids of all documents labelled good and not toxic, and which of them are left out of the target.
 
     Other or null labels do not count.
     """
     good = labels.filter("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("trusted")).distinct()
-    some = good.orderBy(F.xxhash64("trusted"), "trusted").limit(most)
-    return some.withColumn("held", F.pmod(F.xxhash64(F.lit("held"), "trusted"), F.lit(HOLD_OUT)) == 0)
+    return good.withColumn("held", F.pmod(F.xxhash64(F.lit("held"), "trusted"), F.lit(HOLD_OUT)) == 0)
+
+
+def _among(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """The rows of `docs` whose id is in `trusted`, a part of a written table; null ids never are, and gather nowhere."""
+    return docs.join(small(trusted), F.col("doc_id") == F.col("trusted"), "left_semi")
+
+
+def _bucket_counts(docs: DataFrame) -> list[int]:
+    """N-grams of all texts in each bucket; counts are summed by bucket in each task first."""
+    grams = docs.select(_words(F.col("text")).alias("words")).select(_ngrams(F.col("words")).alias("grams"))
+    # explode_outer: for explode, Catalyst adds a filter that cuts each text into words once more for every word
+    found = grams.select(F.explode_outer("grams").alias("k")).groupBy("k").agg(F.count("k").alias("n")).filter("k is not null").collect()
+    counts = [0] * BUCKETS
+    for k, n in found:
+        counts[k] = n
+    return counts
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
-    """ln(target / raw) for each bucket, from (doc_id, text): raw over all documents, target over the trusted ones not left out.
+    """ln(target / raw) for each bucket, from (doc_id, text): raw over all documents, target over all trusted ones not left out.
 
-    Counts are summed by bucket in each task first.  Without a trusted n-gram, all ratios are 0.
+    `trusted` is a written table.  Without a trusted n-gram, all ratios are 0.
     """
-    ngrams = docs.select("doc_id", _words(F.col("text")).alias("words")).select("doc_id", _ngrams(F.col("words")).alias("grams"))
-    fit = F.broadcast(trusted.filter("not held"))
-    # explode_outer: for explode, Catalyst adds a filter that cuts each text into words once more for every word
-    flagged = ngrams.join(fit, F.col("doc_id") == F.col("trusted"), "left").select(F.col("trusted").isNotNull().alias("t"), F.explode_outer("grams").alias("k"))
-    counts = flagged.groupBy("k").agg(F.count("k").alias("raw"), F.count_if("t").alias("target")).filter("k is not null").collect()
-    raw, target = [0] * BUCKETS, [0] * BUCKETS
-    for k, r, t in counts:
-        raw[k], target[k] = r, t
+    target = _bucket_counts(_among(docs, trusted.filter("not held")))
     if not sum(target):
         return [0.0] * BUCKETS
+    raw = _bucket_counts(docs)
     of_raw, of_target = (math.log(sum(x) + SMOOTHING * BUCKETS) for x in (raw, target))
     return [math.log(t + SMOOTHING) - of_target - math.log(r + SMOOTHING) + of_raw for r, t in zip(raw, target)]
 
@@ -113,20 +124,52 @@ def _scored(df: DataFrame, ratios: list[float]) -> DataFrame:
     return out.withColumn("__score", score(F.col("__words"), ratios)).drop("__words").withColumn("__base_failed", failed)
 
 
+def _at_place(scores: DataFrame, place: int) -> float:
+    """The value at `place`, from 0 in ascending order, of the column `s` of a written table without nulls.
+
+    Each round counts the values between two of them in BINS bins and goes on with the ends of the bin that has the place,
+    until they are equal: exact, and neither a task nor the driver holds more than BINS rows.
+    """
+    low, high = scores.agg(F.min("s"), F.max("s")).first()
+    while low < high:
+        inside = scores.filter(F.col("s").between(low, high))
+        at = F.least(F.floor((F.col("s") - low) / (high - low) * BINS), F.lit(BINS - 1))
+        bins = inside.groupBy(at.alias("bin")).agg(F.count("s"), F.min("s"), F.max("s")).collect()
+        for _, n, low, high in sorted(bins):
+            if place < n:
+                break
+            place -= n
+    return low
+
+
+def percentile(scores: DataFrame, percent: float) -> float | None:
+    """The percentile of the column `s` of a written table, in proportion between two values as SQL's `percentile`; nulls do not count."""
+    scores = scores.filter("s is not null")
+    last = scores.count() - 1
+    if last < 0:
+        return None
+    at = last * percent / 100
+    low, high = (_at_place(scores, place) for place in (math.floor(at), math.ceil(at)))
+    return low + (at - math.floor(at)) * (high - low)
+
+
 def threshold(docs: DataFrame, trusted: DataFrame, ratios: list[float], lost_percent: float = LOST_PERCENT) -> float:
-    """The least score to keep: a percentile over the trusted documents left out; without any, every score will do."""
-    held = docs.join(F.broadcast(trusted.filter("held")), F.col("doc_id") == F.col("trusted"), "left_semi")
+    """The least score to keep: a percentile over all trusted documents left out; without any, every score will do."""
+    held = _among(docs, trusted.filter("held"))
     # no filter on what is computed: see keep_good
     passed = F.when(~F.col("__base_failed"), F.col("__score"))
-    found = _scored(held.select(F.col("text").alias("__text")), ratios).agg(F.percentile(passed, F.lit(lost_percent / 100)).alias("t")).first()["t"]
+    scores = written(_scored(held.select(F.col("text").alias("__text")), ratios).select(passed.alias("s")))
+    found = percentile(scores, lost_percent)
+    discard(scores)
     return float("-inf") if found is None else found
 
 
 def _judged(df: DataFrame, docs: DataFrame, labels: DataFrame, lost_percent: float) -> DataFrame:
     """`df` (with `__text`) with counts, `__score`, `__base_failed` and `__kept`."""
-    trusted = trusted_ids(labels)
+    trusted = written(trusted_ids(labels))
     ratios = log_ratios(docs, trusted)
     least = threshold(docs, trusted, ratios, lost_percent)
+    discard(trusted)
     return _scored(df, ratios).withColumn("__kept", ~F.col("__base_failed") & (F.col("__score") >= F.lit(least)))
 
 
