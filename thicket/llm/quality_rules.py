@@ -72,18 +72,26 @@ def measured(df: DataFrame) -> DataFrame:
     )
 
 
+def _left_out(doc_id: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit("held"), doc_id), F.lit(HOLD_OUT)) == 0
+
+
 def trusted_ids(labels: DataFrame) -> DataFrame:
     """(trusted, held): ids of all documents labelled good and not toxic, and which of them are left out of the target.
 
     Other or null labels do not count.
     """
     good = labels.filter("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("trusted")).distinct()
-    return good.withColumn("held", F.pmod(F.xxhash64(F.lit("held"), "trusted"), F.lit(HOLD_OUT)) == 0)
+    return good.withColumn("held", _left_out("trusted"))
 
 
-def _among(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """The rows of `docs` whose id is in `trusted`, a part of a written table; null ids never are, and gather nowhere."""
-    return docs.join(small(trusted), F.col("doc_id") == F.col("trusted"), "left_semi")
+def _among(docs: DataFrame, trusted: DataFrame, held: bool) -> DataFrame:
+    """The rows of `docs` whose id is among those of the written table `trusted` with this `held`; null ids never are.
+
+    Where the ids are too many to send out, only documents that could have this `held` are shuffled: each once for both values.
+    """
+    some = small(trusted.filter(F.col("held") == held))
+    return docs.filter(_left_out("doc_id") == held).join(some, F.col("doc_id") == F.col("trusted"), "left_semi")
 
 
 def _bucket_counts(docs: DataFrame) -> list[int]:
@@ -102,7 +110,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
 
     `trusted` is a written table.  Without a trusted n-gram, all ratios are 0.
     """
-    target = _bucket_counts(_among(docs, trusted.filter("not held")))
+    target = _bucket_counts(_among(docs, trusted, held=False))
     if not sum(target):
         return [0.0] * BUCKETS
     raw = _bucket_counts(docs)
@@ -155,7 +163,7 @@ def percentile(scores: DataFrame, percent: float) -> float | None:
 
 def threshold(docs: DataFrame, trusted: DataFrame, ratios: list[float], lost_percent: float = LOST_PERCENT) -> float:
     """The least score to keep: a percentile over all trusted documents left out; without any, every score will do."""
-    held = _among(docs, trusted.filter("held"))
+    held = _among(docs, trusted, held=True)
     # no filter on what is computed: see keep_good
     passed = F.when(~F.col("__base_failed"), F.col("__score"))
     scores = written(_scored(held.select(F.col("text").alias("__text")), ratios).select(passed.alias("s")))
