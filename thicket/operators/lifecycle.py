@@ -15,6 +15,8 @@ from .smoothing import BackoffModel, Discount, backoff_weights
 
 def backed_off(grams: DataFrame, model: BackoffModel, order: int) -> DataFrame:
     """`grams` (ctx, w0) with p_full, the back-off model's probability, and p_short, that for the newest order - 2 words."""
+    if order == model.order:
+        return model.prob(grams, "p_full", "p_short")
     full = model.prob(grams, "p_full")
     short = model.prob(full.withColumn("long_ctx", F.col("ctx")).withColumn("ctx", truncated(F.col("ctx"), order - 2)), "p_short")
     return short.withColumn("ctx", F.col("long_ctx")).drop("long_ctx")
