@@ -10,7 +10,7 @@ from functools import lru_cache
 import ahocorasick
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from .memo import Memo
 
@@ -175,14 +175,16 @@ def encode_documents(df: DataFrame, path: str, pattern: str, id_col: str = "doc_
     return df.select(df[id_col].cast("long"), df[text_col]).mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def encode_and_decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_and_decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", sizes: Column | None = None) -> DataFrame:
     """Per document: n_tokens, SHA-256 of its decimal ids joined by commas, SHA-256 of the bytes decoded from the ids.
 
     Every whole text is encoded and its ids are decoded again, in one pass without a shuffle.  Null or empty text: no
     tokens, digests of nothing.  A null id stays null, repeated rows each give a row, an empty table gives none; other
     columns are not read, so their names cannot clash.  Memos have a bounded number of bytes and end with their task.
+    `sizes`, if given, is a number of each row that goes along as n_bytes.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+    fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+    schema = pa.schema(fields if sizes is None else [*fields, ("n_bytes", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path, pattern)
@@ -193,7 +195,8 @@ def encode_and_decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc
                 counts.append(ids.count(",") + 1 if ids else 0)
                 ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
                 decoded_sha.append(hashlib.sha256(bpe.decode_text(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string()), *batch.columns[2:]], schema=schema)
         bpe.forget()
 
-    return df.select(df[id_col].cast("long"), df[text_col]).mapInArrow(run, SCHEMA)
+    along = [] if sizes is None else [sizes.cast("long")]
+    return df.select(df[id_col].cast("long"), df[text_col], *along).mapInArrow(run, SCHEMA + ", n_bytes long" * len(along))

@@ -9,7 +9,8 @@ from functools import lru_cache
 import ahocorasick
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .memo import Memo
 
@@ -122,6 +123,11 @@ def counter(model_file: str) -> PrefixCounter:
     return PrefixCounter(model_file)
 
 
+def n_bytes(text: Column) -> Column:
+    """UTF-8 bytes of a text; a null text has none."""
+    return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+
+
 def count_tokens(df: DataFrame, model_file: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokens of every whole text under a sentence-piece BPE model, without begin, end or special tokens.
 
@@ -141,9 +147,9 @@ def count_tokens(df: DataFrame, model_file: str, limit: int = 4096, id_col: str
             for x in batch.column(1):
                 text = x.as_py() or ""
                 n = pieces.total(text)
-                rows.append((len(text.encode()), n, n > limit, pieces.fit(text, limit) if n > limit else len(text)))
-            columns = zip(*rows) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), f.type) for c, f in zip(columns, list(schema)[1:]))], schema=schema)
+                rows.append((n, n > limit, pieces.fit(text, limit) if n > limit else len(text)))
+            columns = zip(*rows) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(list(c), f.type) for c, f in zip(columns, list(schema)[2:]))], schema=schema)
         pieces.forget()
 
-    return df.select(df[id_col].cast("long"), df[text_col]).mapInArrow(run, SCHEMA)
+    return df.select(df[id_col].cast("long"), df[text_col], n_bytes(df[text_col])).mapInArrow(run, SCHEMA)
