@@ -3,8 +3,9 @@
 from collections import Counter
 
 from thicket.operators import counts, lifecycle, smoothing
+from thicket.plans import queries
 from thicket.plans.queries import QUERIES
-from thicket.sources import corpus
+from thicket.sources import corpus, tables
 
 DATA = "/root/testdata/sf0.001"
 SENTENCES = [["<s>", "a", "b", "a", "b", "</s>"], ["<s>", None, "a", "</s>"], ["<s>", "</s>"], ["<s>", "a b", "</s>"], ["<s>", "<s>", "a", "</s>"]]
@@ -84,3 +85,10 @@ def test_continuation_counts_by_hand(spark):
     want |= {g: n for g, n in all_raw.items() if g[0] == 2 and g[1][-1] == "<s>"}
     assert {(r["ord"], tuple(r["ctx"]), r["w0"]): r["cnt"] for r in made.collect()} == want
     assert "Anti" not in plan(made)
+
+
+def test_event_sentences_are_sorted_once_for_all_parts(spark):
+    """The ids and the three parts read a written table; before, each sorted the events anew."""
+    with tables.recorded() as made:
+        queries._apart(spark, DATA)
+    assert [t.columns for t in made].count(["words", "part"]) == 1
