@@ -92,3 +92,10 @@ def test_event_sentences_are_sorted_once_for_all_parts(spark):
     with tables.recorded() as made:
         queries._apart(spark, DATA)
     assert [t.columns for t in made].count(["words", "part"]) == 1
+
+
+def test_discount_files_count_once(spark):
+    """Continuation counts read written n-grams; before, their three sources counted the text anew."""
+    with tables.recorded() as made:
+        QUERIES["discount_files"](spark, DATA)
+    assert [t.columns for t in made].count(["ord", "ctx", "w0", "cnt"]) == 1
